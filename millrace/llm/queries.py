@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, quality
+from millrace.llm import language_id, ppm, quality
 from millrace.llm.common import fold, table
 
 
@@ -22,9 +22,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ppm.fit(docs.filter(fold(7) != 2))
+    scored = ppm.predict(docs, model)
+    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op6_language_id": op6_language_id,
+    "op8_ppm": op8_ppm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
