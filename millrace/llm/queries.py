@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, ppm, quality
-from millrace.llm.common import fold, table
+from millrace.llm import language_id, ppm, quality, warc
+from millrace.llm.common import fold, new_folder, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    folder = new_folder(spark, "warc")
+    warc.plan_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
+    back = spark.read.format("warc").option("payload", "false").option("verify", "true").load(folder)
+    number = lambda c: F.nullif(F.substring_index(F.col(c), ":", -1), F.lit("")).cast("long")
+    return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(fold(4) != 2))
@@ -31,6 +40,7 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_warc": op2_warc,
     "op6_language_id": op6_language_id,
     "op8_ppm": op8_ppm,
 }
