@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, ppm, quality, warc
+from millrace.llm import language_id, mixing, ppm, quality, warc
 from millrace.llm.common import fold, new_folder, table
 
 
@@ -31,6 +31,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ppm.fit(docs.filter(fold(7) != 2))
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op6_language_id": op6_language_id,
+    "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
 }
 
