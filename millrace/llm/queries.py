@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, ppm, quality, warc
+from millrace.llm import fingerprint, language_id, mixing, ppm, quality, warc
 from millrace.llm.common import fold, new_folder, table
 
 
@@ -25,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(fold(4) != 2))
@@ -46,6 +50,7 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
+    "op4_order_minhash": op4_order_minhash,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
