@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, fingerprint, language_id, mixing, ppm, quality, warc
+from millrace.llm import decontam, fingerprint, language_id, mixing, ppm, quality, secrets, warc
 from millrace.llm.common import fold, new_folder, table
 
 
@@ -47,6 +47,11 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), secrets.fit())
+    return scanned.select("doc_id", F.inline("findings")).withColumn("is_secret", F.col("score") >= secrets.ACCEPT)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.found_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
+    "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
 
