@@ -57,6 +57,19 @@ def stream_of(words: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndar
     return codes[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
+def chunks(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` characters, one text at least."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if held and held + n > size:
+            yield start, k
+            start, held = k, 0
+        held += n + 1
+    if held:
+        yield start, len(texts)
+
+
 def low(bytes_kept: int) -> np.uint64:
     return np.uint64((1 << (8 * bytes_kept)) - 1)
 
@@ -168,13 +181,19 @@ def counted(docs: DataFrame, text: str, order: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [words_of(t if isinstance(t, str) else None) for t in b["text"]]
+            texts = [t if isinstance(t, str) else None for t in b["text"]]
             tokens: Counter = Counter()
-            for w in words:
-                tokens.update(w)
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in tokens] + [END], "code": None, "n": [*tokens.values(), len(words)]}).astype({"code": "Int64"})
-            codes, n = np.unique(stream_of(words, order)[0], return_counts=True)
-            yield pd.DataFrame({"word": None, "code": codes.astype(np.int64), "n": n})
+            parts = []
+            for start, end in chunks(texts):
+                words = [words_of(t) for t in texts[start:end]]
+                for w in words:
+                    tokens.update(w)
+                parts.append(np.unique(stream_of(words, order)[0], return_counts=True))
+            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in tokens] + [END], "code": None, "n": [*tokens.values(), len(texts)]}).astype({"code": "Int64"})
+            if parts:
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+                yield pd.DataFrame({"word": None, "code": codes.astype(np.int64), "n": n})
 
     return docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
 
@@ -210,9 +229,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
         trie = Trie(grams, grams_n)
         logs = {w: np.log10(c + 1) - below for w, c in hot.items()}
         for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.iloc[k : k + 1000]
-                words = [words_of(t if isinstance(t, str) else None) for t in part["text"]]
+            texts = [t if isinstance(t, str) else None for t in b["text"]]
+            for start, end in chunks(texts):
+                part = b.iloc[start:end]
+                words = [words_of(t) for t in texts[start:end]]
                 rows, rare = [], []
                 for row, key_, w, s in zip(part["row"], part["key"], words, score_words(trie, words), strict=True):
                     w.append(END.encode())
