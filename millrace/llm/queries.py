@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, fingerprint, language_id, mixing, pii, ppm, quality, secrets, warc
+from millrace.llm import decontam, fingerprint, language_id, mixing, neardup, pii, ppm, quality, secrets, warc
 from millrace.llm.common import fold, new_folder, table
 
 
@@ -35,6 +35,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(fold(4) != 2))
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
     "op4_order_minhash": op4_order_minhash,
+    "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
@@ -74,4 +79,25 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+NEAR_DEDUP_SQL = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+  from documents
+), shingles as materialized (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) else w end) as s from words
+  )
+), sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select a.doc_id as u, b.doc_id as v, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as materialized (
+  select u, v from pairs join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)
+), edges as materialized (select u, v from links union select v, u from links),
+reach as (
+  select doc_id as id, doc_id as r from documents union select reach.id, edges.v from reach join edges on edges.u = reach.r
+), least_ids as (select id, min(r) as component_id from reach group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join least_ids on id = d.doc_id left join sizes on sizes.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_near_dedup": NEAR_DEDUP_SQL}
