@@ -81,11 +81,11 @@ QUERIES = {
 
 NEAR_DEDUP_SQL = """
 with recursive words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
   from documents
 ), shingles as materialized (
   select distinct doc_id, s from (
-    select doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) else w end) as s from words
+    select doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from words
   )
 ), sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
 pairs as (
