@@ -27,20 +27,22 @@ items, or no documents, the result is empty.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.common import appended
 
 WALKS, TABLES, WIDTH = 8, 24, 3
 GRAM, LEAST = 3, 6
 #: Odd multipliers that mix 64-bit hashes.
 MIX, ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-tokens_of = re.compile(r"[^\W_]+").findall
+#: The base of the polynomial token hash, and its inverse modulo 2^64.
+BASE = 0xD6E8FEB86659FD93
+BACK = pow(BASE, -1, 1 << 64)
 
 
 def max_edits(m: int) -> int:
@@ -52,20 +54,44 @@ def needed(m: int) -> int:
     return max(1, m - GRAM + 1 - GRAM * max_edits(m))
 
 
-class Hasher:
-    """64-bit hashes of tokens, remembered for the tokens seen last."""
+_is_token = np.array([chr(c).isalnum() for c in range(1 << 16)])
+_powers = {BASE: np.ones(1, dtype=np.uint64), BACK: np.ones(1, dtype=np.uint64)}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2^64; kept, and made longer when needed."""
+    if len(_powers[base]) < n:
+        steps = np.full(2 * n, base, dtype=np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
+def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of a lower-cased text, and where each starts.
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.seen = most, {}
+    A token's hash is a polynomial of its mixed characters: the difference of two running sums,
+    divided by the power at its start. So a whole text is hashed without taking it apart.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if not len(c):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    ok = _is_token[np.minimum(c, 0xFFFF)]
+    if c.max() > 0xFFFF:
+        far = np.nonzero(c > 0xFFFF)[0]
+        ok[far] = [chr(x).isalnum() for x in c[far]]
+    edge = np.diff(ok.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    mixed = (c.astype(np.uint64) + np.uint64(1)) * MIX
+    mixed ^= mixed >> np.uint64(29)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed * powers(BASE, len(c)))])
+    h = (sums[end] - sums[start]) * powers(BACK, len(c))[start]
+    h = (h ^ (h >> np.uint64(32)) ^ (end - start).astype(np.uint64)) * MIX
+    return h ^ (h >> np.uint64(29)), start
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        for t in set(tokens):
-            if t not in seen:
-                seen[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-        return np.array([seen[t] for t in tokens], dtype=np.uint64)
+
+def hashes(text: str) -> np.ndarray:
+    return tokens(text.lower())[0]
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -126,8 +152,7 @@ class Index:
     """A block of items: their token hashes, the runs that place windows, and the tables."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        hasher = Hasher()
-        self.items = [(i, h) for i, text in items if text and len(h := hasher(tokens_of(text.lower())))]
+        self.items = [(i, h) for i, text in items if text and len(h := hashes(text))]
         runs: list[tuple[int, int, int]] = []
         self.tables: dict[tuple[int, int, int], list[int]] = {}
         self.short: dict[int, list[int]] = {}
@@ -148,6 +173,36 @@ class Index:
         self.some = np.zeros(1 << 16, dtype=bool)
         self.some[self.run >> np.uint64(48)] = True
 
+    def promising(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The documents (by their number for each token) that have as many runs of some item as it must keep."""
+        found = []
+        if len(h) >= GRAM:
+            g = grams(h, GRAM)
+            at = np.nonzero(self.some[g >> np.uint64(48)] & (doc[GRAM - 1 :] == doc[: len(g)]))[0]
+            lo, hi = np.searchsorted(self.run, g[at], "left"), np.searchsorted(self.run, g[at], "right")
+            n = hi - lo
+            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs, count = np.unique(np.repeat(doc[at], n) * max(1, len(self.size)) + self.of[which], return_counts=True)
+            found.append(pairs[count >= self.need[pairs % max(1, len(self.size))]] // max(1, len(self.size)) if len(pairs) else pairs)
+        for m, items in self.short.items():
+            g = grams(h, m)
+            if len(g):
+                same = np.isin(g, np.concatenate([grams(self.items[k][1], m) for k in items])) & (doc[m - 1 :] == doc[: len(g)])
+                found.append(doc[: len(g)][same])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+
+    def search_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """search() of each text; all are hashed and screened at once."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        low = [t.lower() if t else "" for t in texts]
+        h, start = tokens("\n".join(low))
+        ends = np.cumsum([len(t) + 1 for t in low])
+        doc = np.searchsorted(ends, start, "right")
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for d in self.promising(h, doc).tolist():
+            out[d] = self.search(h[first[d] : first[d + 1]])
+        return out
+
     def windows(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(item length, starts) of the windows that may match."""
         g = grams(h, GRAM)
@@ -204,15 +259,29 @@ class Index:
         return [(self.items[k][0], d, max(0, end - len(self.items[k][1])), end) for k, (d, end) in sorted(best.items())]
 
 
-SCHEMA = "item_id long, edits int, first_token int, end_token int"
+MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("first_token", T.IntegerType()), T.StructField("end_token", T.IntegerType())])
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = 20_000) -> DataFrame:
-    """docs with `matches`, an array of SCHEMA structs: the items found in each text. No shuffle."""
-    for part in blocks(items, item_key, item_text, block):
-        docs = against(docs, part, text)
-    if "matches" not in docs.columns:
-        docs = docs.withColumn("matches", F.array().cast(f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>"))
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = 20_000, name: str = "matches") -> DataFrame:
+    """docs with `matches`, an array of MATCH structs: the items found in each text. No shuffle. An existing column of this name is replaced."""
+    new = T.StructType([T.StructField(name, T.ArrayType(MATCH))])
+    parts = list(blocks(items, item_key, item_text, block))
+
+    def make(part: list):
+        def start():
+            index = Index(part)
+            as_dict = lambda r: dict(zip(MATCH.names, r, strict=True))
+
+            def search(texts: list, earlier: list | None = None) -> list[list]:
+                found = [[as_dict(r) for r in rows] for rows in index.search_all(texts)]
+                return [[[*(old or []), *rows] for old, rows in zip(earlier, found, strict=True)] if earlier is not None else found]
+
+            return search
+
+        return start
+
+    for k, part in enumerate(parts or [[]]):
+        docs = appended(docs, [text, name] if k else [text], new, make(part))
     return docs
 
 
@@ -228,23 +297,6 @@ def blocks(items: DataFrame, key: str, text: str, block: int) -> Iterator[list[t
         yield part
 
 
-def against(docs: DataFrame, part: list[tuple[int, str | None]], text: str) -> DataFrame:
-    earlier = "matches" in docs.columns
-    kind = f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
-    schema = docs.schema if earlier else docs.withColumn("matches", F.array().cast(kind)).schema
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, hasher = Index(part), Hasher()
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for b in batches:
-            found = [[dict(zip(names, r, strict=True)) for r in index.search(hasher(tokens_of(t.lower())))] if isinstance(t, str) and t else [] for t in b[text]]
-            if earlier:
-                found = [[*old, *new] for old, new in zip(b["matches"], found, strict=True)]
-            yield b.assign(matches=found)
-
-    return docs.mapInPandas(search, schema)
-
-
 def found_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """(key, item_id, edits, first_token, end_token): a row for each document and item found in it."""
-    return matches(docs.select(key, text), items, key, text, **more).select(key, F.inline("matches"))
+    return matches(docs.select(key, text), items, text, **more).select(key, F.inline("matches"))
