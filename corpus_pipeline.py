@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, language_id, mixing, neardup, secrets
-from millrace.llm.common import new_folder, table
+from millrace.llm.common import fresh, new_folder, same_columns, table
 
 #: Below this posterior probability a text's language counts as unknown.
 SURE = 0.5
@@ -21,26 +21,29 @@ SURE = 0.5
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language (no letter, or no language more likely than all others together); fills in a missing lang."""
     model = language_id.fit(docs)
-    known = language_id.predict(docs, model, names=("_lang", "_sure")).filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("_sure") >= SURE))
-    return known.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+    lang, sure = fresh(docs, "_lang"), fresh(docs, "_sure")
+    known = language_id.predict(docs, model, names=(lang, sure)).filter((F.col(lang) != language_id.UNKNOWN) & (F.col(sure) >= SURE))
+    return same_columns(known.withColumn("lang", F.coalesce("lang", lang)), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
     gone = neardup.near_duplicates(docs, shingle=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return same_columns(docs.join(gone, "doc_id", "left_anti"), docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which an item of the benchmark occurs."""
-    return decontam.matches(docs, table(spark, sf_dir, "benchmark")).filter(F.size("matches") == 0).select(docs.columns)
+    found = fresh(docs, "matches")
+    return same_columns(decontam.matches(docs, table(spark, sf_dir, "benchmark"), name=found).filter(F.size(found) == 0), docs)
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks accepted secrets in the text; n_chars follows. No document is dropped."""
-    scanned = secrets.scan(docs, secrets.fit())
-    changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
-    return scanned.withColumn("n_chars", F.when(changed, F.length("clean_text")).otherwise(F.col("n_chars")).cast("long")).withColumn("text", F.col("clean_text")).select(docs.columns)
+    found, clean = fresh(docs, "findings"), fresh(docs, "clean_text")
+    scanned = secrets.scan(docs, secrets.fit(), names=(found, clean))
+    changed = ~F.col(clean).eqNullSafe(F.col("text"))
+    return same_columns(scanned.withColumn("n_chars", F.when(changed, F.length(clean)).otherwise(F.col("n_chars")).cast("long")).withColumn("text", F.col(clean)), docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word: a run without ASCII white space (space, tab, newline, vertical tab, form feed, return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,3 +67,59 @@ def words_col(text: Column) -> Column:
     """The same words as a column of array<string>; empty for null."""
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def chunks(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` characters, one text at least."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if held and held + n > size:
+            yield start, k
+            start, held = k, 0
+        held += n + 1
+    if held:
+        yield start, len(texts)
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns of another, whatever characters their names have."""
+    return df.select([F.col(f"`{c.replace('`', '``')}`") for c in like.columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def appended(docs: DataFrame, reads: list[str], new: T.StructType, make: Callable[[], Callable[..., list[list]]]) -> DataFrame:
+    """docs with new columns, made within each batch; existing columns of those names are replaced.
+
+    make() runs once in each task and returns a function of the lists of values of `reads`, which
+    returns a list of values for each new column. All other columns pass through as Arrow has them,
+    so no value is changed on the way. Batches are cut so that few megabytes of text are held at once.
+    """
+    names = {f.name.lower() for f in new.fields}
+    kept = [c for c in docs.columns if c.lower() not in names]
+    inputs = [f"_in{k}" for k in range(len(reads))]
+    while {c.lower() for c in kept} & set(inputs):
+        inputs = [f"_{c}" for c in inputs]
+    quote = lambda c: f"`{c.replace('`', '``')}`"
+    d = docs.select([F.col(quote(c)) for c in kept] + [F.col(quote(c)).alias(i) for c, i in zip(reads, inputs, strict=True)])
+    out = T.StructType([docs.schema[docs.columns.index(c)] for c in kept] + new.fields)
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for b in batches:
+            values = [b.column(len(kept) + k).to_pylist() for k in range(len(reads))]
+            for start, end in chunks(values[0]):
+                made = function(*[v[start:end] for v in values])
+                arrays = [pa.array(v, f.type) for v, f in zip(made, arrow, strict=True)]
+                part = b.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(part.columns[: len(kept)] + arrays, names=[*kept, *arrow.names])
+
+    return d.mapInArrow(run, out)

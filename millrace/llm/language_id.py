@@ -23,8 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import cut, share_of
+from millrace.llm.common import appended, cut, share_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -217,13 +218,6 @@ def step(counts: DataFrame, pieces: list[str], langs: list[str], probs: np.ndarr
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the predicted language and its posterior probability; no shuffle."""
-    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = model.scorer()
-        for b in batches:
-            langs, scores = scorer.score([t if isinstance(t, str) else None for t in b[text]])
-            yield b.assign(**{names[0]: langs, names[1]: scores})
-
-    return docs.mapInPandas(score, schema)
+    """docs with the predicted language and its posterior probability; no shuffle. Existing columns of these names are replaced."""
+    new = T.StructType([T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return appended(docs, [text], new, lambda: model.scorer().score)

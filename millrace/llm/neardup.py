@@ -141,7 +141,8 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             if ids:
                 yield sketched(ids, rows)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(sketch, "id long, n long, digest binary, est binary, bands array<long>")
+    # ids as text on the way: pandas has no whole numbers with nulls
+    return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(sketch, "id string, n long, digest binary, est binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def sketched(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
@@ -150,7 +151,7 @@ def sketched(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
     keys = band_keys(regs).astype(np.int64)
     found = iter(zip((xxhash.xxh3_128_digest(s.tobytes()) for s in full), (r[:EST].tobytes() for r in regs), keys.tolist(), strict=True))
     rows = [(i, len(s), *(next(found) if len(s) else (None, None, None))) for i, s in zip(ids, sets, strict=True)]
-    return pd.DataFrame(rows, columns=["id", "n", "digest", "est", "bands"]).astype({"id": "Int64"})
+    return pd.DataFrame(rows, columns=["id", "n", "digest", "est", "bands"])
 
 
 def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

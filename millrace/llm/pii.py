@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, fresh
 from millrace.llm.fingerprint import let
 
 MALE_TITLES, FEMALE_TITLES, OTHER_TITLES = "Mr|Herr|Monsieur|Señor|Sr|господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа", "Dr|Prof"
@@ -174,14 +174,15 @@ def surrogates(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "t
     """docs with the text in which each entity is replaced, and how many were."""
     known = attempts(docs, text, secret)
     again = cut(known.filter(F.col("attempt") > 0))
-    d = docs.withColumn("_e", entities_of(F.col(text)))
+    found, mapped, ident = fresh(docs, "_e"), fresh(docs, "_m"), fresh(docs, "_id")
+    d = docs.drop(*[c for c in (out, count) if c not in (key, text)]).withColumn(found, entities_of(F.col(text)))
     if again.isEmpty():
-        d = d.withColumn("_m", F.lit(None).cast("map<string,int>"))
+        d = d.withColumn(mapped, F.lit(None).cast("map<string,int>"))
     else:
-        mentioned = d.select(F.col(key).alias("_id"), F.explode(F.flatten(F.transform("_e", parts_of))).alias("_p")).select("_id", "_p.kind", "_p.norm").distinct()
-        maps = mentioned.join(again, ["kind", "norm"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\x1f"), "norm"), "attempt"))).alias("_m"))
-        d = d.join(maps, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
-    attempt = lambda p: F.coalesce(F.get(F.map_values(F.map_filter("_m", lambda k, v: k == F.concat(p["kind"], F.lit("\x1f"), p["norm"]))), F.lit(0)), F.lit(0))
+        mentioned = d.select(F.col(key).alias(ident), F.explode(F.flatten(F.transform(found, parts_of))).alias("_p")).select(ident, "_p.kind", "_p.norm").distinct()
+        maps = mentioned.join(again, ["kind", "norm"]).groupBy(ident).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\x1f"), "norm"), "attempt"))).alias(mapped))
+        d = d.join(maps, F.col(key).eqNullSafe(F.col(ident)), "left").drop(ident)
+    attempt = lambda p: F.coalesce(F.get(F.map_values(F.map_filter(mapped, lambda k, v: k == F.concat(p["kind"], F.lit("\x1f"), p["norm"]))), F.lit(0)), F.lit(0))
 
     def new(e: Column) -> Column:
         each = lambda display, p: laid(display, surrogate(p["kind"], p["norm"], attempt(p), secret), p["kind"])
@@ -194,6 +195,6 @@ def surrogates(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "t
         return let(parts_of(e), replaced)
 
     pieces = F.split(F.col(text), PATTERN, -1)
-    built = let(F.transform("_e", new), lambda es: F.array_join(F.transform(pieces, lambda s, i: F.concat(s, F.coalesce(F.get(es, i), F.lit("")))), ""))
-    n = F.size(F.filter("_e", lambda e: F.size(parts_of(e)) > 0))
-    return d.withColumn(out, F.when(F.size("_e") > 0, built).otherwise(F.col(text))).withColumn(count, F.when(F.size("_e") > 0, n).otherwise(F.lit(0))).drop("_e", "_m")
+    built = let(F.transform(found, new), lambda es: F.array_join(F.transform(pieces, lambda s, i: F.concat(s, F.coalesce(F.get(es, i), F.lit("")))), ""))
+    n = F.size(F.filter(found, lambda e: F.size(parts_of(e)) > 0))
+    return d.withColumn(out, F.when(F.size(found) > 0, built).otherwise(F.col(text))).withColumn(count, F.when(F.size(found) > 0, n).otherwise(F.lit(0))).drop(found, mapped)

@@ -26,8 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import share_of
+from millrace.llm.common import appended, share_of
 
 FEATURES = (
     "log_words", "word_mean", "word_sd", "upper", "digit", "symbol", "mark", "bar", "bang", "space", "breaks",
@@ -172,12 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text",
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with P(label 1); no shuffle."""
-    schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    """docs with P(label 1); no shuffle. An existing column of this name is replaced."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([features_of(t if isinstance(t, str) else None) for t in b[text]], dtype=float).reshape(len(b), len(FEATURES))
-            yield b.assign(**{name: model.score(x)})
+    def make():
+        return lambda texts: [model.score(np.array([features_of(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))).tolist()]
 
-    return docs.mapInPandas(score, schema)
+    return appended(docs, [text], T.StructType([T.StructField(name, T.DoubleType())]), make)

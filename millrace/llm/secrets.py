@@ -20,13 +20,13 @@ from __future__ import annotations
 import json
 import random
 import re
-from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.common import appended
 
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 MASK = "[SECRET]"
@@ -276,26 +276,22 @@ def fit(findings: list[tuple[str, str, int]] | None = None, path: str = DICTIONA
     return Model(Forest(np.array(x), np.array(y, dtype=float)), words)
 
 
-SCHEMA = "start int, end int, rule string, score double"
+FINDING = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("rule", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def scan(docs: DataFrame, model: Model, text: str = "text", path: str | None = "source", accept: float = ACCEPT) -> DataFrame:
-    """docs with `findings` (an array of SCHEMA structs: all candidates) and `clean_text`, where the accepted ones are masked."""
-    kind_ = f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
-    schema = docs.select("*", F.array().cast(kind_).alias("findings"), F.col(text).alias("clean_text")).schema
+def scan(docs: DataFrame, model: Model, text: str = "text", path: str = "source", accept: float = ACCEPT, names: tuple[str, str] = ("findings", "clean_text")) -> DataFrame:
+    """docs with `findings` (an array of FINDING structs: all candidates) and `clean_text`, where the accepted ones are masked. Existing columns of these names are replaced."""
+    new = T.StructType([T.StructField(names[0], T.ArrayType(FINDING)), T.StructField(names[1], T.StringType())])
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            all_found, clean = [], []
-            where = b[path] if path else [""] * len(b)
-            for t, p in zip(b[text], where, strict=True):
-                t = t if isinstance(t, str) else None
-                found = model.scan(t, p if isinstance(p, str) else "")
-                all_found.append([{"start": s, "end": e, "rule": RULES[k][0], "score": score} for s, e, k, score in found])
-                clean.append(masked(t, [(s, e) for s, e, _, score in found if score >= accept]))
-            yield b.assign(findings=all_found, clean_text=clean)
+    def find(texts: list, paths: list) -> list[list]:
+        all_found, clean = [], []
+        for t, p in zip(texts, paths, strict=True):
+            found = model.scan(t, p)
+            all_found.append([{"start": s, "end": e, "rule": RULES[k][0], "score": score} for s, e, k, score in found])
+            clean.append(masked(t, [(s, e) for s, e, _, score in found if score >= accept]))
+        return [all_found, clean]
 
-    return docs.mapInPandas(find, schema)
+    return appended(docs, [text, path], new, lambda: find)
 
 
 def masked(text: str | None, spans: list[tuple[int, int]]) -> str | None:
