@@ -535,7 +535,7 @@ def token_bucket(spark, sf):
 
 
 TRACK_SQL = """
-with f as (select l_suppkey as layer, l_orderkey * 8 + l_linenumber as arrival, l_partkey as seq from lineitem),
+with f as (select user_id % 10 as layer, event_id as arrival, event_id // 30 + event_id * 7 % 5 as seq from events),
 t as (select *, max(seq) over (partition by layer order by arrival rows between unbounded preceding and 1 preceding) as top from f)
 select layer, arrival, seq, case when top is null then 'first' when seq = top then 'repeat' when seq < top then 'late' when seq = top + 1 then 'next' else 'gap' end as status,
   case when seq > top + 1 then seq - top - 1 else 0 end as missing from t
@@ -548,7 +548,7 @@ def seq_tracker(spark, sf):
 
 
 def frames(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("layer"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("arrival"), F.col("l_partkey").alias("seq"))
+    return table(spark, sf, "events").select((F.col("user_id") % 10).alias("layer"), F.col("event_id").alias("arrival"), (F.floor(F.col("event_id") / 30) + F.col("event_id") * 7 % 5).alias("seq"))
 
 
 @query()

@@ -87,7 +87,7 @@ def cast(c: Column | str) -> Column:
     s = col(c)
     number = s.rlike(r"^-?(?:0|[1-9]\d*)$") & (F.length(s) < 18) & (F.abs(F.expr("0") + F.try_to_number(s, F.lit("S" + "9" * 18))) <= SAFE)
     decimal = s.rlike(r"^-?(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?$|^-?\d+[eE][+-]?\d+$")
-    fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^(-?)\.", "${1}0."), r"\.(?=[eE]|$)", ".0"), r"^(-?)0+(?=\d)", "$1")
+    fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^(?=\.)|(?<=^-)(?=\.)", "0"), r"\.(?=[eE]|$)", ".0"), r"^(-?)0+(?=\d)", "$1")
     plain = F.when(s.isin("null", "true", "false") | F.coalesce(number, F.lit(False)), s).when(decimal, fixed)
     return F.parse_json(F.coalesce(plain, F.to_json(F.array(s)).substr(F.lit(2), F.length(F.to_json(F.array(s))) - 2)))
 

@@ -174,7 +174,8 @@ class Parser:
         return k
 
     def paragraph(self, lines, k, out) -> int:
-        body = [lines[k].strip()]
+        keep = lambda x: x.lstrip() if x.endswith("  ") else x.strip()
+        body = [keep(lines[k])]
         k += 1
         while k < len(lines) and lines[k].strip():
             if m := UNDER.match(lines[k]):
@@ -182,7 +183,7 @@ class Parser:
                 return k + 1
             if starts_block(lines[k], in_paragraph=True):
                 break
-            body.append(lines[k].lstrip() if lines[k].endswith("  ") else lines[k].strip())
+            body.append(keep(lines[k]))
             k += 1
         out.append(self.node("paragraph", "\n".join(body).rstrip()))
         return k
