@@ -156,7 +156,7 @@ def with_header(names: str):
         first = True
         for b in batches:
             if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([names])], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([names], b.schema.field(0).type)], schema=b.schema)
                 first = False
             yield b
 
