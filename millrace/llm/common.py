@@ -104,22 +104,21 @@ def appended(docs: DataFrame, reads: list[str], new: T.StructType, make: Callabl
     """
     names = {f.name.lower() for f in new.fields}
     kept = [c for c in docs.columns if c.lower() not in names]
-    inputs = [f"_in{k}" for k in range(len(reads))]
-    while {c.lower() for c in kept} & set(inputs):
-        inputs = [f"_{c}" for c in inputs]
-    quote = lambda c: f"`{c.replace('`', '``')}`"
-    d = docs.select([F.col(quote(c)) for c in kept] + [F.col(quote(c)).alias(i) for c, i in zip(reads, inputs, strict=True)])
-    out = T.StructType([docs.schema[docs.columns.index(c)] for c in kept] + new.fields)
+    quote = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    # by position within, as mapInArrow takes no names with dots
+    inner = [f"c{k}" for k in range(len(kept))]
+    d = docs.select([quote(c).alias(i) for c, i in zip(kept, inner, strict=True)] + [quote(c).alias(f"in{k}") for k, c in enumerate(reads)])
+    out = T.StructType(d.schema.fields[: len(kept)] + [T.StructField(f"out{k}", f.dataType) for k, f in enumerate(new.fields)])
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for b in batches:
-            values = [b.column(len(kept) + k).to_pylist() for k in range(len(reads))]
+            values = [b.column(len(inner) + k).to_pylist() for k in range(len(reads))]
             for start, end in chunks(values[0]):
                 made = function(*[v[start:end] for v in values])
                 arrays = [pa.array(v, f.type) for v, f in zip(made, arrow, strict=True)]
                 part = b.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays(part.columns[: len(kept)] + arrays, names=[*kept, *arrow.names])
+                yield pa.RecordBatch.from_arrays(part.columns[: len(inner)] + arrays, names=out.names)
 
-    return d.mapInArrow(run, out)
+    return d.mapInArrow(run, out).toDF(*kept, *new.names)

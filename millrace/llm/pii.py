@@ -29,6 +29,7 @@ from millrace.llm.common import cut, fresh
 from millrace.llm.fingerprint import let
 
 MALE_TITLES, FEMALE_TITLES, OTHER_TITLES = "Mr|Herr|Monsieur|Señor|Sr|господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа", "Dr|Prof"
+MALE_TITLES, FEMALE_TITLES, OTHER_TITLES = (f"{t}|{t.upper()}" for t in (MALE_TITLES, FEMALE_TITLES, OTHER_TITLES))
 NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERN = (
     r"((?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
