@@ -514,6 +514,10 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
+def write_xml(df: DataFrame, path: str, root_tag: str, row_tag: str, mode: str = "errorifexists") -> None:
+    df.write.format("xml").mode(mode).option("rootTag", root_tag).option("rowTag", row_tag).save(path)
+
+
 def xml_text(c: Column | str, path: str) -> Column:
     return F.xpath_string(col(c), F.lit(path))
 
