@@ -285,3 +285,17 @@ def test_keyed_source(spark, tmp_path):
     feeds.register(spark)
     (tmp_path / "a.jsonl").write_text('{"key": "p:1", "value": 1}\n{"key": "q", "value": 2}\n')
     assert rows(spark.read.format("keyed").option("path", str(tmp_path)).load().filter(F.col("key").startswith("p:"))) == [("p:1", "1")]
+
+
+def test_spreadsheet_metadata(spark, tmp_path):
+    from millrace.sources import office_parts
+
+    m = 'xmlns="m"'
+    data = office.package({
+        "xl/tables/t.xml": f'<table {m} displayName="T" ref="A1:B9"><autoFilter ref="A1:B9"><filterColumn colId="1"><filters><filter val="x"/></filters></filterColumn></autoFilter><tableColumns><tableColumn name="a"/><tableColumn name="b" totalsRowFunction="sum"/></tableColumns></table>'.encode(),
+        "xl/worksheets/s.xml": f'<worksheet {m}><conditionalFormatting sqref="A1:A9"><cfRule type="cellIs" operator="lessThan"><formula>5</formula></cfRule></conditionalFormatting></worksheet>'.encode(),
+        "xl/comments1.xml": f'<comments {m}><authors><author>me</author></authors><commentList><comment ref="B2" authorId="0"><text><t>hi</t></text></comment></commentList></comments>'.encode(),
+    })
+    (tmp_path / "a.xlsx").write_bytes(data)
+    got = {(r.kind, r["name"], r.ref) for r in office_parts.metadata(spark, str(tmp_path)).collect()}
+    assert got == {("table", "T", "A1:B9"), ("conditionalFormat", "cellIs", "A1:A9"), ("comment", "me", "B2")}
