@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import codecs, dates, html, numeric, text
 from millrace.operators import grid, joins, ordered, stats, trees, validate
 from millrace.session import table
-from millrace.sources import markdown
+from millrace.sources import csv, markdown, office
 from millrace.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -563,3 +563,61 @@ select user_id, event_id, coalesce(event_id - last <= 500, false) as open from t
 """)
 def activity_gate(spark, sf):
     return windows.gate(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 90.0, 500).drop("value")
+
+
+# Files made and read within a query
+
+
+@query("select distinct c_nationkey as key, 'ods' as format, 'sheet' as family from customer")
+def workbooks(spark, sf):
+    cells = first_of_cell(order_cells(spark, sf)).filter("value is not null").select(F.col("sheet").alias("key"), F.lit("customers").alias("sheet"), "row", "col", "value")
+    d = office.detect("content", F.lit("")).alias("d")
+    return office.write_books(cells, "key", "ods").select("key", d).select("key", "d.format", "d.family")
+
+
+@query("""
+select p_partkey, case when p_size % 4 = 0 then 'null' when p_size % 4 = 1 then 'true' when p_size % 4 = 2 then p_partkey::varchar else '"' || p_name || '"' end as cell from part
+""")
+def csv_cell_casts(spark, sf):
+    k = F.col("p_size") % 4
+    s = F.when(k == 0, "null").when(k == 1, "true").when(k == 2, F.col("p_partkey").cast("string")).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", F.to_json(csv.cast(s)).alias("cell"))
+
+
+@query("""
+select event_id, '[' || concat_ws(', ', case when event_type not in ('click', 'view') then '$.event_type:enum' end, case when value > 50 then '$.value:maximum' end) || ']' as errors from events
+""")
+def validation_errors(spark, sf):
+    schema = {"properties": {"event_type": {"enum": ["click", "view"]}, "value": {"maximum": 50}}}
+    e = validate.errors(table(spark, sf, "events").select("event_id", "event_type", "value"), schema)
+    names = F.array_sort(F.transform("errors", lambda x: F.concat(x["path"], F.lit(":"), x["keyword"])))
+    return e.select("event_id", F.concat(F.lit("["), F.array_join(names, ", "), F.lit("]")).alias("errors"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice >= (select min(p) from (select o_totalprice as p from orders order by p desc limit 15))")
+def autofilter_top(spark, sf):
+    return validate.autofilter(table(spark, sf, "orders"), {"o_totalprice": {"top10": 15}}).select("o_orderkey", "o_totalprice")
+
+
+@query()
+def md_first_paragraph(spark, sf):
+    return trees.find_first(md_blocks(spark, sf), F.col("kind") == "paragraph").select("doc_id", "path", "text")
+
+
+@query()
+def frame_concealment(spark, sf):
+    f = frames(spark, sf).withColumn("value", F.col("seq").cast("double"))
+    return windows.conceal(f, ["layer"], "seq", "arrival", "value")
+
+
+@query("""
+select c_custkey, c_acctbal, format('{:,.2f}', c_acctbal) as shown from customer where c_acctbal >= 0
+""")
+def number_formats(spark, sf):
+    return table(spark, sf, "customer").filter("c_acctbal >= 0").select("c_custkey", "c_acctbal", dates.format_code("c_acctbal", "#,##0.00").alias("shown"))
+
+
+@query("select user_id, event_id, value, starts_with(event_type, 'c') as watched from events where starts_with(event_type, 'c')")
+def remote_watch(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "value", F.col("event_type").alias("key"))
+    return windows.watch(e, "c").select("user_id", "event_id", "value", F.lit(True).alias("watched"))
