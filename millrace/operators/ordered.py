@@ -33,7 +33,7 @@ def heap_bounded(df: DataFrame, most: int) -> DataFrame:
     """The rows, or an error if there are more than a bounded heap takes."""
     n = df.agg(F.count("*").alias("n"))
     full = n.select(F.when(F.col("n") > most, F.raise_error(F.lit(f"heap: more than {most} items")).cast("boolean")).otherwise(True).alias("_ok"))
-    return df.crossJoin(F.broadcast(full)).filter("_ok").drop("_ok")  # one row
+    return df.filter(full.scalar())
 
 
 def has(df: DataFrame, key: str, value) -> DataFrame:
@@ -109,7 +109,7 @@ class Store:
     def state(self) -> DataFrame:
         """(key, value) after all changes: what was set last, after the last clear."""
         cleared = self.log.agg(F.max(F.when(F.col("op") == "clear", F.col("seq"))).alias("_c"))
-        live = self.log.filter("op <> 'clear'").crossJoin(F.broadcast(cleared)).filter("_c is null or seq > _c").drop("_c")  # one row
+        live = self.log.filter("op <> 'clear'").filter(F.col("seq") > F.coalesce(cleared.scalar(), F.lit(-(1 << 62))))
         return latest(live, ["key"], "seq").filter("op = 'set'").select("key", "value")
 
     def get(self, key: str) -> DataFrame:

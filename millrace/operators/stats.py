@@ -20,6 +20,14 @@ def checked(v: Column | str) -> Column:
     return F.when(F.isnan(c), F.raise_error(F.lit("not a number: NaN")).cast("double")).otherwise(c)
 
 
+def with_aggregates(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
+    """df with aggregates of each row's group: by a join, or a scalar subquery where there is one group."""
+    if by:
+        return df.join(df.groupBy(*by).agg(*aggregates), by)
+    found = df.agg(*aggregates)
+    return df.withColumn("_all", found.select(F.struct(*found.columns)).scalar()).select(*df.columns, "_all.*")
+
+
 def total(v: Column | str) -> Column:
     return F.sum(col(v))
 
@@ -84,8 +92,7 @@ def mode_first(df: DataFrame, by: list[str], v: str, seq: str, name: str = "mode
 
 def mad(df: DataFrame, by: list[str], v: str, name: str = "mad") -> DataFrame:
     """Median of the absolute deviations from the group's median."""
-    mid = df.groupBy(*by).agg(F.median(v).alias("_mid"))
-    keyed = df.join(mid, [*by]) if by else df.crossJoin(F.broadcast(mid))  # one row
+    keyed = with_aggregates(df, by, F.median(v).alias("_mid"))
     return keyed.groupBy(*by).agg(F.median(F.abs(F.col(v) - F.col("_mid"))).alias(name))
 
 
@@ -99,8 +106,7 @@ def histogram(df: DataFrame, v: str, bins: int | list[float] = 10, by: list[str]
         at = F.size(F.filter(edges, lambda e: e <= F.col(v))) - 1
         d = d.filter((F.col(v) >= bins[0]) & (F.col(v) <= bins[-1])).withColumn("bin", F.least(at, F.lit(last)))
         return d.groupBy(*by, "bin").agg(F.count("*").alias("n")).select(*by, "bin", F.get(edges, F.col("bin")).alias("lo"), F.get(edges, F.col("bin") + 1).alias("hi"), "n")
-    ends = d.groupBy(*by).agg(F.min(v).cast("double").alias("_lo"), F.max(v).cast("double").alias("_hi"))
-    keyed = d.join(ends, by) if by else d.crossJoin(F.broadcast(ends))  # one row
+    keyed = with_aggregates(d, by, F.min(v).cast("double").alias("_lo"), F.max(v).cast("double").alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(step > 0, F.least(F.floor((F.col(v) - F.col("_lo")) / F.when(step > 0, step)), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     counts = keyed.withColumn("bin", at).groupBy(*by, "bin", "_lo", "_hi").agg(F.count("*").alias("n"))
@@ -110,8 +116,7 @@ def histogram(df: DataFrame, v: str, bins: int | list[float] = 10, by: list[str]
 def scaled(df: DataFrame, v: str, by: list[str], make, name: str) -> DataFrame:
     """Adds make(value, statistics of the group): the groups' aggregates are joined back, so no group is sorted or held."""
     c = F.col(v)
-    stats = df.groupBy(*by).agg(F.avg(c).alias("_avg"), F.stddev_pop(c).alias("_sd"), F.min(c).alias("_min"), F.max(c).alias("_max"))
-    keyed = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row
+    keyed = with_aggregates(df, by, F.avg(c).alias("_avg"), F.stddev_pop(c).alias("_sd"), F.min(c).alias("_min"), F.max(c).alias("_max"))
     return keyed.withColumn(name, make(c)).drop("_avg", "_sd", "_min", "_max")
 
 

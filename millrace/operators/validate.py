@@ -167,10 +167,10 @@ def autofilter(df: DataFrame, criteria: dict[str, dict]) -> DataFrame:
                 edge = df.agg(F.percentile(c, F.lit(n / 100 if bottom else 1 - n / 100)).alias("_e"))
             else:
                 edge = df.filter(c.isNotNull()).orderBy(order).limit(n).agg((F.max if bottom else F.min)(c).alias("_e"))
-            df = df.crossJoin(F.broadcast(edge)).filter(c <= F.col("_e") if bottom else c >= F.col("_e")).drop("_e")  # one row
+            df = df.filter(c <= edge.scalar() if bottom else c >= edge.scalar())
         if "dynamic" in k:
             avg = df.agg(F.avg(c).alias("_a"))
-            df = df.crossJoin(F.broadcast(avg)).filter(c > F.col("_a") if k["dynamic"] == "aboveAverage" else c < F.col("_a")).drop("_a")  # one row
+            df = df.filter(c > avg.scalar() if k["dynamic"] == "aboveAverage" else c < avg.scalar())
     return df
 
 

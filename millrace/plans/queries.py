@@ -377,8 +377,8 @@ from embeddings, q
 """)
 def vector_dot_distance(spark, sf):
     e = table(spark, sf, "embeddings")
-    one = F.broadcast(e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q")))  # one row
-    return e.crossJoin(one).select("vec_id", F.round(numeric.dot("embedding", "q"), 4).alias("dot"), F.round(numeric.distance("embedding", "q"), 4).alias("distance"))
+    one = e.agg(F.min_by("embedding", "vec_id"))
+    return e.withColumn("q", one.scalar()).select("vec_id", F.round(numeric.dot("embedding", "q"), 4).alias("dot"), F.round(numeric.distance("embedding", "q"), 4).alias("distance"))
 
 
 @query("""
