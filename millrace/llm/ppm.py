@@ -35,9 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, words_of
+from millrace.llm.common import chunks, cut, words_of
 
-ORDER, NODES, HOT = 4, 1 << 21, 1 << 16
+ORDER, NODES, HOT = 4, 1 << 21, 1 << 19
 #: The end token, as the word counts hold it; no word contains white space.
 END = "\n"
 LOG10_2 = np.log10(2)
@@ -57,19 +57,6 @@ def stream_of(words: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndar
     return codes[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
-def chunks(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `size` characters, one text at least."""
-    start = held = 0
-    for k, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > size:
-            yield start, k
-            start, held = k, 0
-        held += n + 1
-    if held:
-        yield start, len(texts)
-
-
 def low(bytes_kept: int) -> np.uint64:
     return np.uint64((1 << (8 * bytes_kept)) - 1)
 
@@ -138,7 +125,7 @@ class Level:
 def score_words(trie: Trie, words: list[list[bytes]]) -> np.ndarray:
     """log10 P of each text; equal grams are scored once."""
     codes, starts = stream_of(words, trie.order)
-    different, back = np.unique(codes, return_inverse=True)
+    back, different = pd.factorize(codes)
     return np.add.reduceat(trie.log2(different)[back], starts) * LOG10_2
 
 
@@ -220,10 +207,10 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NO
 
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) for each row of docs."""
-    grams, grams_n, hot = model.grams, model.grams_n, model.hot
+    grams, grams_n, hot, kind = model.grams, model.grams_n, model.hot, docs.schema[key].dataType
     below = np.log10(model.tokens + 1) + np.log10(model.distinct + 1)  # log10 of (N + 1) * (V + 1)
     names = ["row", "key", "word", "n", "n_tokens", "n_known", "base_score", "score"]
-    schema = "row long, key long, word string, n long, n_tokens long, n_known long, base_score double, score double"
+    schema = "row long, key string, word string, n long, n_tokens long, n_known long, base_score double, score double"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(grams, grams_n)
@@ -240,16 +227,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
                     # its own word, so that no key of the join below is frequent
                     rows.append((row, key_, f"{END}{row}", 0, len(w), len(known), float(np.sum(known)), s))
                     rare += [(row, x.decode("utf-8", "replace"), n) for x, n in Counter(x for x in w if x not in logs).items()]
-                yield pd.DataFrame(rows, columns=names).astype({"key": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
                 if rare:
-                    yield pd.DataFrame(rare, columns=["row", "word", "n"]).reindex(columns=names).astype({"key": "Int64", "n_tokens": "Int64", "n_known": "Int64"})
+                    yield pd.DataFrame(rare, columns=["row", "word", "n"]).reindex(columns=names).astype({"key": object, "n_tokens": "Int64", "n_known": "Int64"}).assign(key=None)
 
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(score, schema)
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(score, schema)
     found = parts.join(model.counts, "word", "left")
     base = F.coalesce(F.col("base_score"), F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0) - F.lit(float(below))))
     known = F.coalesce(F.col("n_known"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))
     return (
         found.groupBy("row")
-        .agg(F.max("key").alias(key), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score"))
+        .agg(F.max("key").cast(kind).alias(key), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score"))
         .drop("row")
     )
