@@ -16,7 +16,7 @@ Rates are rounded into copies by one threshold for each source: with u a hash of
 in [0, 1), copies = floor(rate + u + delta), no more than `most`; a larger delta takes more. Passes
 over histograms of where each document's copies change narrow the threshold to the last document
 that fits below the target, then `fills` passes add, to each source, the largest document that still
-fits. So reruns agree, and a source misses its target by less than the smallest document left out.
+fits. So reruns agree, and what a source misses of its target shrinks with each pass.
 
 Targets: sources in code point order, null last, weigh `weights`, repeating, and share `budget`
 times all tokens; a target stops at `most` times the source's size and the excess is shared again by
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
 
-BINS = 1024
+BINS = 4096
 #: exp() of the tilt stays finite below this.
 STEEP = 600.0
 
@@ -72,10 +72,13 @@ def tilt(lam: Column, x: Column, most: int) -> Column:
     return most / (1 + F.exp(-z))
 
 
-def solve(sizes: DataFrame, goals: DataFrame, most: int = 2, rounds: int = 40, close: float = 1e-7) -> DataFrame:
+def solve(sizes: DataFrame, goals: DataFrame, most: int = 2, rounds: int = 40, close: float = 1e-6) -> DataFrame:
     """sizes: (source, size, n); goals: (source, source_size, target, scale). Adds lambda, `full` where every document gets `most` copies."""
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    state = cut(goals.select("source", "source_size", "target", "scale", full.alias("full"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (full | (F.col("source_size") == 0)).alias("done")))
+    # the tilt that solves the case of equal sizes
+    share = F.least(F.greatest(F.col("target") / (most * F.greatest(F.col("source_size"), F.lit(1))), F.lit(1e-9)), F.lit(1 - 1e-9))
+    begin = F.when(full, 0.0).otherwise(F.ln(share / (1 - share)) + math.log(most - 1))
+    state = cut(goals.select("source", "source_size", "target", "scale", full.alias("full"), begin.alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (full | (F.col("source_size") == 0)).alias("done")))
     for _ in range(rounds):
         open_ = state.filter(~F.col("done"))
         # null-safe: a null source is one like any other
@@ -103,7 +106,7 @@ def solve(sizes: DataFrame, goals: DataFrame, most: int = 2, rounds: int = 40, c
     return state.select("source", "source_size", "target", "scale", "full", "lam")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, fills: int = 6) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, fills: int = 3) -> DataFrame:
     """(key, size, source, source_size, target, rate, copies, taken) of every document."""
     if most < 2:
         raise ValueError("most: 2 at least")
@@ -125,15 +128,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Colu
     joined = rows.join(cutoff.select(F.col("source").alias("_s"), "limit"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     extra = F.when((F.col("turn") >= 0) & (F.col("turn") < F.coalesce(F.col("limit"), F.lit(0.0))) & (F.col("base") < most), 1).otherwise(0)
     taken = cut(joined.select("_key", "source", "size", "source_size", "target", "rate", (F.col("base") + extra).alias("copies")))
-    for _ in range(fills):
-        more = fill(taken, most)
-        if more is None:
-            break
-        taken = more
+    taken = filled(taken, most, fills)
     return taken.select(F.col("_key").alias(key), "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def thresholds(rows: DataFrame, passes: int = 3) -> DataFrame:
+def thresholds(rows: DataFrame, passes: int = 2) -> DataFrame:
     """(source, limit): the largest limit for which base copies and the turns below it stay within the target."""
     used = F.sum(F.col("base") * F.col("size"))
     state = rows.groupBy("source").agg(F.first("target").alias("target"), used.alias("_used")).withColumn("limit", F.lit(0.0))
@@ -155,13 +154,26 @@ def thresholds(rows: DataFrame, passes: int = 3) -> DataFrame:
     return state
 
 
-def fill(taken: DataFrame, most: int) -> DataFrame | None:
-    """taken with one more copy of the largest document of each source that still fits; None if none does."""
-    left = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_left"))
-    room = taken.filter((F.col("copies") < most) & (F.col("size") > 0)).join(left.select(F.col("source").alias("_s"), "_left"), F.col("source").eqNullSafe(F.col("_s")))
-    fits = room.filter(F.col("size") <= F.col("_left")).groupBy(F.col("_s")).agg(F.max(F.struct("size", F.xxhash64("_key"), "_key")).alias("_best"), F.count("*").alias("_n"))
-    fits = cut(fits.select("_s", F.col("_best._key").alias("_k"), F.col("_best.size").alias("_z")))
-    if fits.isEmpty():
-        return None
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("_key").eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_z"))
-    return cut(taken.join(fits, same, "left").select("_key", "source", "size", "source_size", "target", "rate", (F.col("copies") + F.when(F.col("_z").isNotNull() & (F.col("copies") < most), 1).otherwise(0)).alias("copies")))
+def filled(taken: DataFrame, most: int, fills: int) -> DataFrame:
+    """taken with one more copy, `fills` times over, of the largest document of each source that still fits.
+
+    A row for each source is kept from pass to pass; the documents are read, not rewritten.
+    """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    left = taken.groupBy(F.col("source").alias("_s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_left"))
+    open_ = taken.filter((F.col("copies") < most) & (F.col("size") > 0)).select("_key", "source", "size", F.xxhash64("_key").alias("_h"))
+    picked = None
+    for _ in range(fills):
+        room = open_.join(left, same("source", "_s")).filter(F.col("size") <= F.col("_left")).drop("_s")
+        if picked is not None:
+            p = picked.select(F.col("source").alias("_ps"), F.col("_key").alias("_pk"), F.col("size").alias("_pz"))
+            room = room.join(p, same("source", "_ps") & same("_key", "_pk") & same("size", "_pz"), "left_anti")
+        best = room.groupBy("source", "_left").agg(F.max(F.struct("size", "_h", "_key")).alias("_b"))
+        best = cut(best.select("source", "_b._key", "_b.size", (F.col("_left") - F.col("_b.size")).alias("_left")))
+        picked = best.select("source", "_key", "size") if picked is None else picked.union(best.select("source", "_key", "size"))
+        left = best.select(F.col("source").alias("_s"), "_left")
+    if picked is None:
+        return taken
+    p = picked.groupBy(F.col("source").alias("_ps"), F.col("_key").alias("_pk"), F.col("size").alias("_pz")).agg(F.count("*").alias("_n"))
+    more = taken.join(p, same("source", "_ps") & same("_key", "_pk") & same("size", "_pz"), "left")
+    return more.withColumn("copies", F.least(F.col("copies") + F.coalesce("_n", F.lit(0)), F.lit(most))).drop("_ps", "_pk", "_pz", "_n")
