@@ -100,4 +100,15 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id =
 from documents d join least_ids on id = d.doc_id left join sizes on sizes.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_near_dedup": NEAR_DEDUP_SQL}
+WARC_SQL = """
+with body as (select page_id, encode(coalesce(html, '')) as b, sha1(coalesce(html, '')) as h from pages),
+letters as (
+  select page_id, octet_length(b) as payload_bytes, min(page_id) over (partition by h) as first,
+    array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (1 + 5 * g)::int, 5))::int >> s) & 31) + 1)::int, 1)), '')), '') as payload_digest
+  from body
+)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from letters
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op5_near_dedup": NEAR_DEDUP_SQL}
