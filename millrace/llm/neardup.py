@@ -11,7 +11,8 @@ a Jaccard similarity of `percent` / 100 or more; a component is what links reach
 3. Families. In each bucket the collision-corrected estimate from EST registers is taken between all
    sets and two centres; sets that are close to neither are compared with the whole bucket. What
    isn't within 0.16 (4.5 standard deviations) of the threshold is no candidate. Families are the
-   connected parts of the candidates, so whatever is linked is within a family.
+   connected parts of the candidates, so whatever is linked is within a family. A bucket gives one edge
+   for each of its sets at most.
 4. Verification on full sets. Families are dealt to tasks in blocks of BLOCK sets. CENTRES members of
    each family meet all others; that covers families up to this size. In larger ones, all members
    outside the largest part found so far then meet all members of the family, block by block. Only
@@ -175,7 +176,7 @@ def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): estimated neighbours that keep together all that may be linked."""
+    """(u, v): edges that keep together all sets that may be linked; in each bucket, one for each set at most."""
     least = percent / 100 - MARGIN
     bands = sets.select("id", F.posexplode("bands").alias("band", "bucket"))
     busy = bands.groupBy("bucket").count().filter("count > 1").select("bucket")
@@ -187,24 +188,26 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         for g in grouped(batches, "bucket"):
             if len(g) < 2:
                 continue
+            # in an order that is the same in all buckets, so that they agree on centres
+            g = g.iloc[np.argsort((g["id"].to_numpy().astype(np.uint64) + np.uint64(1)) * MIX)]
             ids, n = g["id"].to_numpy(), g["n"].to_numpy(dtype=float)
             regs = np.frombuffer(b"".join(g["est"]), dtype=np.uint16).reshape(len(g), EST)
             chance = chance_equal(int(np.median(n)), int(np.median(n)))
-
-            def near(c: int, ids=ids, n=n, regs=regs, chance=chance) -> np.ndarray:
-                ok = (np.minimum(n, n[c]) >= least * np.maximum(n, n[c])) & (ids != ids[c])
-                ok[ok] = estimate(regs[ok], regs[c], chance) >= least
-                return ok
-
-            order = np.argsort((ids.astype(np.uint64) + np.uint64(1)) * MIX)
+            part = np.arange(len(g))
             done = np.zeros(len(g), dtype=bool)
-            for c in order[:2]:
-                ok = near(c)
-                done |= ok
+            for c in [0, 1, *range(2, len(g))]:
+                if c > 1 and done[c]:
+                    continue
+                ok = np.minimum(n, n[c]) >= least * np.maximum(n, n[c])
+                ok[ok] = estimate(regs[ok], regs[c], chance) >= least
+                ok[c] = True
+                if c < 2:
+                    done |= ok
                 done[c] = True
-                out.update((min(ids[c], x), max(ids[c], x)) for x in ids[ok].tolist())
-            for c in np.nonzero(~done)[0]:
-                out.update((min(ids[c], x), max(ids[c], x)) for x in ids[near(c)].tolist())
+                joined = np.unique(part[ok])
+                part[np.isin(part, joined)] = joined[0]
+            # one edge for each set: to the first of its part
+            out.update((min(a, b), max(a, b)) for a, b in zip(ids[part].tolist(), ids.tolist(), strict=True) if a != b)
             if len(out) > 100_000:
                 yield pd.DataFrame(sorted(out), columns=["u", "v"])
                 out = set()
