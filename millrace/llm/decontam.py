@@ -124,12 +124,14 @@ def samples(m: int) -> list[tuple[int, np.ndarray]]:
 
 
 def keys(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """(windows x TABLES) bucket keys."""
+    """(windows x TABLES) bucket keys, different for each table and length."""
     walks = {n: walk(h, starts, m, n) for n in range(WALKS)}
     out = np.zeros((len(starts), TABLES), dtype=np.uint64)
+    out += np.uint64(m) << np.uint64(16)
+    out += np.arange(TABLES, dtype=np.uint64)
     for t, (n, at) in enumerate(samples(m)):
         for p in at:
-            out[:, t] = (out[:, t] ^ walks[n][:, p] ^ np.uint64(t)) * MIX
+            out[:, t] = (out[:, t] ^ walks[n][:, p]) * MIX
             out[:, t] ^= out[:, t] >> np.uint64(31)
     return out
 
@@ -153,26 +155,38 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, h) for i, text in items if text and len(h := hashes(text))]
-        runs: list[tuple[int, int, int]] = []
-        self.tables: dict[tuple[int, int, int], list[int]] = {}
-        self.short: dict[int, list[int]] = {}
-        for k, (_, h) in enumerate(self.items):
-            if len(h) < GRAM:
-                self.short.setdefault(len(h), []).append(k)
-                continue
-            runs += [(int(g), k, o) for o, g in enumerate(grams(h, GRAM))]
-            for t, key in enumerate(keys(h, np.zeros(1, dtype=np.int64), len(h))[0]):
-                self.tables.setdefault((len(h), t, int(key)), []).append(k)
-        runs.sort()
-        self.run = np.array([r[0] for r in runs], dtype=np.uint64)
-        self.of = np.array([r[1] for r in runs], dtype=np.int64)
-        self.offset = np.array([r[2] for r in runs], dtype=np.int64)
         self.size = np.array([len(h) for _, h in self.items], dtype=np.int64)
         self.need = np.array([needed(len(h)) for _, h in self.items], dtype=np.int64)
         self.edits = np.array([max_edits(len(h)) for _, h in self.items], dtype=np.int64)
+        self.short: dict[int, list[int]] = {}
+        runs, offsets, owners, table, holders = [], [], [], [], []
+        for m in np.unique(self.size).tolist():
+            own = np.nonzero(self.size == m)[0]
+            if m < GRAM:
+                self.short[m] = own.tolist()
+                continue
+            h = np.concatenate([self.items[k][1] for k in own])
+            starts = np.arange(len(own)) * m
+            inside = (starts[:, None] + np.arange(m - GRAM + 1)).ravel()
+            runs.append(grams(h, GRAM)[inside])
+            offsets.append(np.tile(np.arange(m - GRAM + 1), len(own)))
+            owners.append(np.repeat(own, m - GRAM + 1))
+            table.append(keys(h, starts, m).ravel())
+            holders.append(np.repeat(own, TABLES))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        order = np.argsort(run := join(runs, np.uint64), kind="stable")
+        self.run, self.of, self.offset = run[order], join(owners, np.int64)[order], join(offsets, np.int64)[order]
+        order = np.argsort(key := join(table, np.uint64), kind="stable")
+        self.key, self.holder = key[order], join(holders, np.int64)[order]
         self.some = np.zeros(1 << 16, dtype=bool)
         self.some[self.run >> np.uint64(48)] = True
 
+    def bucket_mates(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys, item) for each item that a key's bucket holds."""
+        lo, hi = np.searchsorted(self.key, bucket, "left"), np.searchsorted(self.key, bucket, "right")
+        n = hi - lo
+        return np.repeat(np.arange(len(bucket)), n), self.holder[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
     def promising(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The documents (by their number for each token) that have as many runs of some item as it must keep."""
         found = []
@@ -239,10 +253,8 @@ class Index:
             found: set[tuple[int, int]] = set()
             for k in range(0, len(starts), 2048):
                 part = starts[k : k + 2048]
-                for t, column in enumerate(keys(h, part, m).T):
-                    for w, key in enumerate(column.tolist()):
-                        for item in self.tables.get((m, t, key), ()):
-                            found.add((item, int(part[w])))
+                which, item = self.bucket_mates(keys(h, part, m).ravel())
+                found.update(zip(item.tolist(), part[which // TABLES].tolist(), strict=True))
             edits = max_edits(m)
             for item, start in sorted(found):
                 if item in best and best[item][0] == 0:
@@ -268,8 +280,9 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     parts = list(blocks(items, item_key, item_text, block))
 
     def make(part: list):
+        index = Index(part)  # built once, on the driver
+
         def start():
-            index = Index(part)
             as_dict = lambda r: dict(zip(MATCH.names, r, strict=True))
 
             def search(texts: list, earlier: list | None = None) -> list[list]:
