@@ -82,6 +82,13 @@ def chunks(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default: texts are long. A setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with the columns of another, whatever characters their names have."""
     return df.select([F.col(f"`{c.replace('`', '``')}`") for c in like.columns])
@@ -110,6 +117,7 @@ def appended(docs: DataFrame, reads: list[str], new: T.StructType, make: Callabl
     d = docs.select([quote(c).alias(i) for c, i in zip(kept, inner, strict=True)] + [quote(c).alias(f"in{k}") for k, c in enumerate(reads)])
     out = T.StructType(d.schema.fields[: len(kept)] + [T.StructField(f"out{k}", f.dataType) for k, f in enumerate(new.fields)])
     arrow = to_arrow_schema(new)
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()

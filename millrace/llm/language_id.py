@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, cut, share_of
+from millrace.llm.common import appended, cut, share_of, text_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 MAX_RUN = 48
 MAX_PIECE = 16
-CACHE = 400_000
+CACHE = 200_000
 #: Probability of a character that the vocabulary lacks, and the count added to every piece.
 RARE, ADDED = 1e-6, 0.01
 
@@ -166,6 +166,7 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             rows = [(code, w, n) for code, c in counts.items() for w, n in c.items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
+    text_batches(docs.sparkSession)
     pairs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(count, "lang string, word string, n long")
     return pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, words_of
+from millrace.llm.common import cut, text_batches, words_of
 
 BANDS, ROWS, EST = 42, 6, 128
 REGISTERS = BANDS * ROWS
@@ -53,7 +53,7 @@ TIMES = _chance.integers(0, 1 << 62, REGISTERS, dtype=np.uint64) * np.uint64(2)
 class Hasher:
     """64-bit hashes of words, remembered for the words seen last."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.seen = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -142,6 +142,7 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             if ids:
                 yield sketched(ids, rows)
 
+    text_batches(docs.sparkSession)
     # ids as text on the way: pandas has no whole numbers with nulls
     return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(sketch, "id string, n long, digest binary, est binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, share_of
+from millrace.llm.common import appended, share_of, text_batches
 
 FEATURES = (
     "log_words", "word_mean", "word_sd", "upper", "digit", "symbol", "mark", "bar", "bang", "space", "breaks",
@@ -150,6 +150,7 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, bins: int = 16, steps: int = 600, d
 
 def sample(docs: DataFrame, chosen: Column, most: int, text: str, key: str) -> np.ndarray:
     """Feature rows of about `most` of the chosen rows, by a hash of the key."""
+    text_batches(docs.sparkSession)
     docs = docs.filter(chosen)
     n = docs.count()
 
