@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +91,20 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def released(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches after which a reused worker gives its memory back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
 def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with the columns of another, whatever characters their names have."""
     return df.select([F.col(f"`{c.replace('`', '``')}`") for c in like.columns])
@@ -129,4 +145,4 @@ def appended(docs: DataFrame, reads: list[str], new: T.StructType, make: Callabl
                 part = b.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(part.columns[: len(inner)] + arrays, names=out.names)
 
-    return d.mapInArrow(run, out).toDF(*kept, *new.names)
+    return d.mapInArrow(released(run), out).toDF(*kept, *new.names)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, cut, share_of, text_batches
+from millrace.llm.common import appended, cut, released, share_of, text_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -167,7 +167,7 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
     text_batches(docs.sparkSession)
-    pairs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(count, "lang string, word string, n long")
+    pairs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(released(count), "lang string, word string, n long")
     return pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -208,7 +208,7 @@ def step(counts: DataFrame, pieces: list[str], langs: list[str], probs: np.ndarr
         at, c = np.nonzero(total)
         yield pd.DataFrame({"piece": at, "lang": c, "n": total[at, c]})
 
-    sums = counts.mapInPandas(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+    sums = counts.mapInPandas(released(expect), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
     new = np.zeros((size, len(langs)))
     new[sums["piece"], sums["lang"]] = sums["n"]
     new[:2] = 0

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, text_batches, words_of
+from millrace.llm.common import cut, released, text_batches, words_of
 
 BANDS, ROWS, EST = 42, 6, 128
 REGISTERS = BANDS * ROWS
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
     text_batches(docs.sparkSession)
     # ids as text on the way: pandas has no whole numbers with nulls
-    return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(sketch, "id string, n long, digest binary, est binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
+    return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(released(sketch), "id string, n long, digest binary, est binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def sketched(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
@@ -215,7 +215,7 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pd.DataFrame(sorted(out), columns=["u", "v"])
 
-    return full.select("bucket", "id", "n", "est").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(compare, "u long, v long").distinct()
+    return full.select("bucket", "id", "n", "est").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(released(compare), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -249,7 +249,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> D
                 yield pd.DataFrame({"id": part["id"], "items": [shingles(hasher(words_of(t)), k).tobytes() for t in part["text"]]})
 
     chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(ids, "id", "left_semi")
-    return chosen.mapInPandas(build, "id long, items binary")
+    return chosen.mapInPandas(released(build), "id long, items binary")
 
 
 def confirmed(members: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +283,7 @@ def confirmed(members: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
                 out += [(int(ids[c]), int(i)) for i in ids[own][linked]]
             yield pd.DataFrame(out, columns=["u", "v"])
 
-    return rows.select("group", "id", "items", "probe").repartition("group").sortWithinPartitions("group").mapInPandas(verify, "u long, v long")
+    return rows.select("group", "id", "items", "probe").repartition("group").sortWithinPartitions("group").mapInPandas(released(verify), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
