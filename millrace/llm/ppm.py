@@ -10,10 +10,14 @@ Two uses. *Pretrained* (`fit`, `predict`): counts over all training texts; a tex
 frozen trie. *Adaptive* (`adaptive_code_length`): the trie starts empty and learns within the text.
 
 The trie is a set of sorted arrays, one for each context length: the grams (context and byte, packed
-in a 64-bit number) and their counts. A gram is kept if its count times `nodes` is at least the
-number of bytes counted, so at most `nodes` grams remain for each length, whatever the corpus. Counts
-fall along longer contexts, so the suffixes of a kept gram are kept too, and what is excluded after
-an escape is exactly what the context just left had seen: all sums that scoring needs are made once.
+in a 64-bit number) and their counts. No gram is dropped, however rare. What is excluded after an
+escape is exactly what the context just left had seen, so all sums that scoring needs are made once.
+
+A byte's probability depends on its gram alone, so texts are scored by gram: grams that make up at
+least one of `nodes` bytes counted (so `nodes` at most) travel with the model as a cache of their
+log P; all other counted grams are looked up by a join. A gram that was never counted is scored once,
+beside all counted grams that share its last three context bytes: these hold every longer context it
+can escape from. Shorter contexts, of which the alphabet bounds the number, go everywhere in full.
 
 The text is scored as its lower-cased (A-Z) words, joined by a space and ended by a newline.
 
@@ -32,12 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, cut, words_of
+from millrace.llm.common import chunks, cut, new_folder, words_of
 
 ORDER, NODES, HOT = 4, 1 << 21, 1 << 19
+#: Contexts of up to so many bytes travel in full; longer ones are dealt by their last SHORT + 1 bytes.
+SHORT = 2
 #: The end token, as the word counts hold it; no word contains white space.
 END = "\n"
 LOG10_2 = np.log10(2)
@@ -156,11 +162,22 @@ def adaptive_code_length(text: str | None, order: int = 3) -> float:
     return float(bits)
 
 
+def shorter(codes: np.ndarray, n: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of o context bytes that grams of longer contexts end in, and their counts."""
+    short, at = np.unique(codes & low(o + 1), return_inverse=True)
+    total = np.zeros(len(short), dtype=np.int64)
+    np.add.at(total, at, n)
+    return short, total
+
+
 class Model:
-    """The trie's arrays; hot: counts of frequent words; counts: DataFrame (word, c) of all; tokens N, distinct V."""
+    """short: all grams of up to SHORT context bytes and their counts, by length; level: DataFrame (code, n) of all grams of
+    order + 1 bytes; cached: how often a gram must occur to be cached; codes, logs: log10 P of those; hot: counts of frequent
+    words; counts: DataFrame (word, c) of all; tokens N, distinct V."""
 
-    def __init__(self, grams: list[np.ndarray], grams_n: list[np.ndarray], hot: dict[bytes, int], counts: DataFrame, tokens: int, distinct: int):
-        self.grams, self.grams_n, self.hot, self.counts, self.tokens, self.distinct = grams, grams_n, hot, counts, tokens, distinct
+    def __init__(self, order: int, short: list[tuple[np.ndarray, np.ndarray]], level: DataFrame, cached: int, codes: np.ndarray, logs: np.ndarray, hot: dict[bytes, int], counts: DataFrame, tokens: int, distinct: int):
+        self.order, self.short, self.level, self.cached, self.codes, self.logs = order, short, level, cached, codes, logs
+        self.hot, self.counts, self.tokens, self.distinct = hot, counts, tokens, distinct
 
 
 def counted(docs: DataFrame, text: str, order: int) -> DataFrame:
@@ -185,8 +202,32 @@ def counted(docs: DataFrame, text: str, order: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
+def seen(level: DataFrame) -> DataFrame:
+    """(code, n, lp): log10 P of each counted gram, which its context predicts without an escape."""
+    context = Window.partitionBy(F.shiftright("code", 8))
+    return level.select("code", "n", F.log10(F.col("n") / (F.sum("n").over(context) + F.count("*").over(context))).alias("lp"))
+
+
+def unseen(codes: DataFrame, model: Model) -> DataFrame:
+    """(code, lp): log10 P of grams that were never counted."""
+    short, order = model.short, model.order
+    codes = cut(codes)
+    shards = max(4 * int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (codes.count() + model.level.count()) >> 17)
+    shard = lambda d: d.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND((1 << (8 * (SHORT + 1))) - 1)), F.lit(shards))).groupBy("shard")
+
+    def score(counted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"code": pd.Series(dtype="int64"), "lp": pd.Series(dtype="float64")})
+        grams, n = counted["code"].to_numpy(dtype=np.uint64), counted["n"].to_numpy(dtype=np.int64)
+        levels = short + [shorter(grams, n, o) for o in range(len(short), order + 1)]
+        trie = Trie([g for g, _ in levels], [c for _, c in levels])
+        return pd.DataFrame({"code": asked["code"], "lp": trie.log2(asked["code"].to_numpy(dtype=np.uint64)) * LOG10_2})
+
+    return shard(model.level).cogroup(shard(codes)).applyInPandas(score, "code long, lp double")
+
+
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NODES, hot: int = HOT) -> Model:
-    """Counts over all docs. The driver gets at most `nodes` grams of each length and `hot` words."""
+    """Counts over all docs. The driver gets all grams of short contexts, at most `nodes` of the others and `hot` words as caches."""
     if not 0 <= order <= 6:
         raise ValueError("order: 0 to 6, so that a gram and its sign fit in 64 bits")
     both = cut(counted(docs, text, order))
@@ -195,48 +236,65 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NO
     frequent = counts.filter(F.col("c") * hot >= tokens).toPandas()
     level = both.filter(F.col("code").isNotNull()).select("code", "n")
     size = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    grams, grams_n = [], []
-    for o in range(order, -1, -1):
-        if o < order:
-            level = level.groupBy(F.col("code").bitwiseAND((1 << (8 * (o + 1))) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        kept = level.filter(F.col("n") * nodes >= size).toPandas().sort_values("code")
-        grams.insert(0, kept["code"].to_numpy(dtype=np.uint64))
-        grams_n.insert(0, kept["n"].to_numpy(dtype=np.int64))
-    return Model(grams, grams_n, {w.encode(): int(c) for w, c in zip(frequent["word"], frequent["c"], strict=True)}, counts, int(tokens), int(distinct))
+    top = min(order, SHORT)
+    all_short = level.groupBy(F.col("code").bitwiseAND((1 << (8 * (top + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")).toPandas()
+    short = [shorter(all_short["code"].to_numpy(dtype=np.uint64), all_short["n"].to_numpy(dtype=np.int64), o) for o in range(top + 1)]
+    cached = max(1, -(-size // nodes))
+    kept = seen(level).filter(F.col("n") >= cached).select("code", "lp").toPandas().sort_values("code")
+    words = {w.encode(): int(c) for w, c in zip(frequent["word"], frequent["c"], strict=True)}
+    return Model(order, short, level, cached, kept["code"].to_numpy(dtype=np.uint64), kept["lp"].to_numpy(dtype=np.float64), words, counts, int(tokens), int(distinct))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) for each row of docs."""
-    grams, grams_n, hot, kind = model.grams, model.grams_n, model.hot, docs.schema[key].dataType
+    order, cache, logs10, hot, kind, spark = model.order, model.codes, model.logs, model.hot, docs.schema[key].dataType, docs.sparkSession
     below = np.log10(model.tokens + 1) + np.log10(model.distinct + 1)  # log10 of (N + 1) * (V + 1)
-    names = ["row", "key", "word", "n", "n_tokens", "n_known", "base_score", "score"]
-    schema = "row long, key string, word string, n long, n_tokens long, n_known long, base_score double, score double"
+    schema = "row long, key string, word string, code long, n long, n_tokens long, n_known long, base_score double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    full = lambda d: d.reindex(columns=names).astype({"key": object, "word": object, "code": "Int64", "n": "Int64", "n_tokens": "Int64", "n_known": "Int64"})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(grams, grams_n)
         logs = {w: np.log10(c + 1) - below for w, c in hot.items()}
         for b in batches:
             texts = [t if isinstance(t, str) else None for t in b["text"]]
             for start, end in chunks(texts):
                 part = b.iloc[start:end]
                 words = [words_of(t) for t in texts[start:end]]
+                codes, starts = stream_of(words, order)
+                back, different = pd.factorize(codes)
+                at = np.minimum(np.searchsorted(cache, different), max(len(cache) - 1, 0))
+                hit = cache[at] == different if len(cache) else np.zeros(len(different), dtype=bool)
+                sums = np.add.reduceat(np.where(hit, logs10[at], 0.0)[back] if len(cache) else np.zeros(len(back)), starts)
                 rows, rare = [], []
-                for row, key_, w, s in zip(part["row"], part["key"], words, score_words(trie, words), strict=True):
+                for row, key_, w, s in zip(part["row"], part["key"], words, sums, strict=True):
                     w.append(END.encode())
                     known = [logs[x] for x in w if x in logs]
-                    # its own word, so that no key of the join below is frequent
-                    rows.append((row, key_, f"{END}{row}", 0, len(w), len(known), float(np.sum(known)), s))
+                    rows.append((row, key_, len(w), len(known), float(np.sum(known)), s))
                     rare += [(row, x.decode("utf-8", "replace"), n) for x, n in Counter(x for x in w if x not in logs).items()]
-                yield pd.DataFrame(rows, columns=names)
+                yield full(pd.DataFrame(rows, columns=["row", "key", "n_tokens", "n_known", "base_score", "score"]))
                 if rare:
-                    yield pd.DataFrame(rare, columns=["row", "word", "n"]).reindex(columns=names).astype({"key": object, "n_tokens": "Int64", "n_known": "Int64"}).assign(key=None)
-
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(score, schema)
-    found = parts.join(model.counts, "word", "left")
-    base = F.coalesce(F.col("base_score"), F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0) - F.lit(float(below))))
-    known = F.coalesce(F.col("n_known"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))
+                    yield full(pd.DataFrame(rare, columns=["row", "word", "n"]))
+                missed = np.flatnonzero(~hit[back])
+                if len(missed):
+                    text_of = np.searchsorted(starts, missed, side="right") - 1
+                    both, n = np.unique(text_of * len(different) + back[missed], return_counts=True)
+                    yield full(pd.DataFrame({"row": part["row"].to_numpy()[both // len(different)], "code": different[both % len(different)].astype(np.int64), "n": n}))
+
+    folder = new_folder(spark, "ppm")  # read more than once: what was never counted is scored before the sums
+    docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(score, schema).write.parquet(folder)
+    parts = spark.read.schema(schema).parquet(folder)
+    texts = parts.filter(F.col("n").isNull()).select("row", "key", "n_tokens", "n_known", "base_score", "score")
+    found = parts.filter(F.col("word").isNotNull()).join(model.counts, "word", "left")
+    base = F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0) - F.lit(float(below)))
+    rare_words = found.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("n_known"), base.alias("base_score"))
+    missed = parts.filter(F.col("code").isNotNull()).select("row", "code", "n")
+    new = unseen(missed.select("code").distinct().join(model.level, "code", "left_anti"), model)
+    rare = seen(model.level).filter(F.col("n") < model.cached).select("code", "lp").unionByName(new)
+    rare_grams = missed.join(rare, "code").select("row", (F.col("n") * F.col("lp")).alias("score"))
     return (
-        found.groupBy("row")
-        .agg(F.max("key").cast(kind).alias(key), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score"))
+        texts.unionByName(rare_words, allowMissingColumns=True)
+        .unionByName(rare_grams, allowMissingColumns=True)
+        .groupBy("row")
+        .agg(F.max("key").cast(kind).alias(key), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
         .drop("row")
     )

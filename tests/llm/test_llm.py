@@ -402,6 +402,30 @@ def test_trie_is_ppm_with_exclusion():
     assert ppm.adaptive_code_length("ab " * 200) < 0.3 * ppm.adaptive_code_length("".join(random.Random(1).choices("abcdefghij ", k=600)))
 
 
+def test_ppm_keeps_rare_grams(spark, empty):
+    """Over 2 MB, where one gram of 2^21 bytes is less than one occurrence: grams seen once count in full."""
+    r = random.Random(5)
+    common, rare = " ".join(r.choices(EN + DE, k=3000)), ["zyxwvq kjhgfd zyxwvq", "qwrtzp żółw mnbvcx", "xq zj vk wq"]
+    times = 5 * 2**20 // len(common) + 1
+    train = [common] * times + rare
+    assert sum(map(len, train)) > 4 << 20
+    counts = defaultdict(Counter)
+    for t, n in [(common, times)] + [(t, 1) for t in rare]:
+        padded = b"\n" * ppm.ORDER + " ".join(t.split()).encode().lower() + b"\n"
+        for k in range(ppm.ORDER, len(padded)):
+            for o in range(ppm.ORDER + 1):
+                counts[padded[k - o : k]][padded[k]] += n
+    asked = [*rare, "zyxwvq the kjhgfd", "żółw żółty", "the cat sat", "", "ΩΩ unseen 123"]
+    docs = table(spark, [(k, t, "en", "s", len(t)) for k, t in enumerate(asked)])
+    fitted = table(spark, [(k, t, "en", "s", len(t)) for k, t in enumerate(train)])
+    for nodes in (ppm.NODES, 50, 1):
+        got = {x.doc_id: x.score for x in ppm.predict(docs, ppm.fit(fitted, nodes=nodes)).collect()}
+        for k, t in enumerate(asked):
+            assert got[k] == pytest.approx(-brute_ppm(counts, " ".join(t.split()).encode().lower() + b"\n", ppm.ORDER) * np.log10(2)), (nodes, t)
+    for order in (0, 1, 3):
+        assert [x.score for x in ppm.predict(docs.filter("doc_id = 4"), ppm.fit(empty, order=order)).collect()] == [pytest.approx(-np.log10(256) * len("żółw żółty\n".encode()))]
+
+
 # 9 secrets
 
 
