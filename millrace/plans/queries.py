@@ -265,9 +265,11 @@ def digest_more(spark, sf):
 def codec_round_trips(spark, sf):
     d = table(spark, sf, "documents")
     js = F.to_json(F.struct("doc_id", "lang", "n_chars"))
+    back = codecs.utf8_decode(codecs.unlzw_value(codecs.lzw_value("text")))
     return d.select(
         "doc_id", codecs.utf8_decode(codecs.gunzip_value(codecs.gzip_value("text"))).alias("back_gzip"), codecs.utf8_decode(codecs.unzlib_value(codecs.zlib_value("text"))).alias("back_zlib"),
-        codecs.utf8_decode(codecs.unlzw_value(codecs.lzw_value(F.left("text", F.lit(400))))).alias("back_lzw"),
+        # the whole text goes through LZW and has to come back; the SQL shows its head
+        F.when(back == F.col("text"), F.left(back, F.lit(400))).alias("back_lzw"),
         (F.parse_json(codecs.msgpack_to_json(codecs.json_to_msgpack(js))).cast("string") == F.parse_json(codecs.cbor_to_json(codecs.json_to_cbor(js))).cast("string")).alias("same_json"),
     )
 
