@@ -174,8 +174,8 @@ def text_slug(spark, sf):
 
 @query()
 def text_unicode(spark, sf):
-    head = F.substring("text", 1, 40)
-    return table(spark, sf, "documents").select("doc_id", text.normalize_unicode(head, "NFKD").alias("nfkd"), text.casefold(head).alias("folded"), F.size(text.graphemes(head)).alias("graphemes"), text.width(head).alias("width"), text.strip_ansi(head).alias("plain"))
+    t = "text"
+    return table(spark, sf, "documents").select("doc_id", text.normalize_unicode(t, "NFKD").alias("nfkd"), text.casefold(t).alias("folded"), F.size(text.graphemes(t)).alias("graphemes"), text.width(t).alias("width"), text.strip_ansi(t).alias("plain"))
 
 
 @query("""
