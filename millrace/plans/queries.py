@@ -172,6 +172,13 @@ def text_slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query("""
+select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents
+""")
+def text_slug_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.slug("text").alias("slug"))
+
+
 @query()
 def text_unicode(spark, sf):
     t = "text"
