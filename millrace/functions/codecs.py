@@ -47,7 +47,7 @@ def from_hex(s) -> Column:
 
 
 def to_base64(b, url: bool = False, padded: bool = True) -> Column:
-    text = F.base64(col(b).cast("binary"))
+    text = F.translate(F.base64(col(b).cast("binary")), "\r\n", "")  # Spark breaks lines after 76 characters
     text = F.translate(text, "+/", "-_") if url else text
     return text if padded else F.rtrim(text, F.lit("="))
 

@@ -262,6 +262,11 @@ def digest_sha_hex(spark, sf):
     return table(spark, sf, "documents").select("doc_id", codecs.sha2("text").alias("sha"), codecs.to_hex(codecs.utf8_encode(head)).alias("hexed"), codecs.to_base64(head).alias("b64"), F.md5("text").alias("md5"))
 
 
+@query("select doc_id, lower(hex(encode(text))) as hexed, to_base64(encode(text)) as b64 from documents")
+def digest_hex_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", codecs.to_hex(codecs.utf8_encode("text")).alias("hexed"), codecs.to_base64("text").alias("b64"))
+
+
 @query()
 def digest_more(spark, sf):
     t = "text"
