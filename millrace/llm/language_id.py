@@ -6,11 +6,14 @@ forward pass gives; a text's is the product over its words. Pieces never cross w
 the sum over the segmentations of the whole text. The piece probabilities are fitted by EM (the
 forward-backward counts of pieces), over a sample of labelled rows bounded by `docs_per_language`.
 
-Words are runs of letters of the lower-cased text; a run over MAX_RUN letters is cut into several.
+Words are runs of letters of the lower-cased text, of any length: the passes rescale as they go, so
+long runs don't underflow. Spans are found in the vocabulary by 64-bit rolling hashes, for all words
+of a group at once.
 
 Defined cases: null text, empty text or no letter: language `und`, score 0. Repeated rows: each
 gets the same answer. No labelled row at all: `und` everywhere. Ties: the first language by code.
-Rows with a null language are not learned from.
+Rows with a null language are not learned from. More than `most_languages` distinct languages: an
+error, as the model has a column for each.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,15 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, cut, released, share_of, text_batches
+from millrace.llm.common import appended, chunks, cut, released, share_of, text_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
-MAX_RUN = 48
-MAX_PIECE = 16
-CACHE = 200_000
+MARK = "▁"
 #: Probability of a character that the vocabulary lacks, and the count added to every piece.
 RARE, ADDED = 1e-6, 0.01
+#: Positions after which the passes are rescaled.
+RESCALE = 16
+#: Words of up to so many letters in all are passed over side by side.
+LETTERS = 200_000
+#: Longer words are passed over one by one.
+LONG = 300
+MIX, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 runs = re.compile(r"[^\W\d_]+").findall
 
@@ -44,54 +53,169 @@ def pieces_of(path: str = VOCABULARY) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
-    return sorted({p.lower() for p in found if len(p) <= MAX_PIECE})
+    return sorted({p.lower() for p in found})
 
 
 def letters_of(run: str) -> list[str]:
-    """A run's parts: letters only, MAX_RUN at most."""
-    parts = [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
-    return [p[i : i + MAX_RUN] for p in parts for i in range(0, len(p), MAX_RUN)]
+    """A run's parts: letters only."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
+def points(words: list[str]) -> np.ndarray:
+    """(words x longest) code points; 0 past a word's end."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    out = np.zeros((len(words), int(sizes.max(initial=0))), dtype=np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return out
+
+
+class Pieces:
+    """Numbers of pieces (from 2 on) by hashes of their code points."""
+
+    def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces), default=1)
+        found, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
+        for own in by_length(pieces, exact=True):
+            n = len(pieces[own[0]])
+            found.append(self.hashed(self.sums(points([pieces[k] for k in own])), n)[:, 0])
+            at.append(own.astype(np.int32) + 2)
+        h, at = np.concatenate(found), np.concatenate(at)
+        order = np.argsort(h)
+        self.hash, self.number = h[order], at[order]
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[self.hash >> np.uint64(44)] = True
+
+    def sums(self, c: np.ndarray) -> np.ndarray:
+        mixed = (c.astype(np.uint64) + np.uint64(1)) * MIX
+        mixed ^= mixed >> np.uint64(29)
+        out = np.zeros((c.shape[0], c.shape[1] + 1), dtype=np.uint64)
+        for j in range(c.shape[1]):
+            out[:, j + 1] = out[:, j] * np.uint64(BASE) + mixed[:, j]
+        return out
+
+    def hashed(self, sums: np.ndarray, n: int) -> np.ndarray:
+        """The hashes of all spans of n letters."""
+        h = sums[:, n:] - sums[:, : sums.shape[1] - n] * np.uint64(pow(BASE, n, 1 << 64))
+        h = (h ^ (h >> np.uint64(32)) ^ np.uint64(n)) * MIX
+        return h ^ (h >> np.uint64(29))
+
+    def spans(self, c: np.ndarray) -> list[np.ndarray]:
+        """For each width from 1 on, (words x starts) numbers. 0: no such piece; 1: a single character that is no piece."""
+        sums, out = self.sums(c), []
+        for n in range(1, min(self.longest, c.shape[1]) + 1):
+            h = self.hashed(sums, n)
+            ids = np.zeros(h.shape, dtype=np.int32)
+            maybe = np.nonzero(self.some[h >> np.uint64(44)])
+            if len(self.hash) and len(maybe[0]):
+                x = h[maybe]
+                at = np.minimum(np.searchsorted(self.hash, x), len(self.hash) - 1)
+                ids[maybe] = np.where(self.hash[at] == x, self.number[at], 0)
+            if n == 1:
+                ids[ids == 0] = 1
+            out.append(ids)
+        return out
 
 
 class Lattice:
-    """Words of one length side by side: the piece of every span, then forward and backward passes."""
-
-    def __init__(self, words: list[str], number: dict[str, int]):
-        self.n = len(words[0]) + 1
-        self.spans = [(i, j) for j in range(1, self.n + 1) for i in range(max(0, j - MAX_PIECE), j)]
-        get = number.get
-        marked = ["▁" + w for w in words]
-        # 0: no such piece; 1: a single character that is no piece
-        self.ids = np.array([[get(w[i:j], 1 if j == i + 1 else 0) for i, j in self.spans] for w in marked], dtype=np.int32)
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: a row for each piece, a column for each language. Returns alpha[position, word, language]."""
-        a = np.zeros((self.n + 1, len(self.ids), p.shape[1]))
+    """Words side by side: the piece of every span, then forward and backward passes."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.c = points([MARK + w for w in words])
+        self.size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        self.n = self.c.shape[1]
+        # by end: the width, the words that have a piece there, and its number
+        self.ending: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.n + 1)]
+        for k, ids in enumerate(pieces.spans(self.c), 1):
+            hit = ids.T > 0
+            for start in np.nonzero(hit.any(axis=1))[0].tolist():
+                w = np.nonzero(hit[start] & (self.size >= start + k))[0]
+                if len(w):
+                    self.ending[start + k].append((k, w, ids[w, start]))
+
+    def forward(self, p: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """log of each word's probability [word, language]; p: a row for each piece, a column for each language.
+
+        With `every` also alpha[position, word, language] and the logarithms of what it was divided by.
+        """
+        shape = (self.n + 1, len(self.size), p.shape[1])
+        a, logs, scale = np.zeros(shape), np.zeros(shape) if every else None, np.zeros(shape[1:])
+        out = np.zeros(shape[1:])
         a[0] = 1
-        for k, (i, j) in enumerate(self.spans):
-            a[j] += a[i] * p[self.ids[:, k]]
-        return a
+        reach = max((k for found in self.ending for k, _, _ in found), default=1)
+        for j in range(1, self.n + 1):
+            for k, w, ids in self.ending[j]:
+                a[j][w] += a[j - k][w] * p[ids]
+            if j % RESCALE == 0:
+                # what later positions can still reach is divided by the same
+                near = slice(max(0, j - reach + 1), j + 1)
+                most = a[near].max(axis=0)
+                most[most <= 0] = 1
+                a[near] /= most
+                scale = scale + np.log(most)
+                if every:
+                    logs[near] = scale
+            elif every:
+                logs[j] = scale
+            ends = self.size == j
+            if ends.any():
+                out[ends] = np.log(a[j][ends]) + scale[ends]
+        return (out, a, logs) if every else out
 
     def expected(self, p: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
         """How often each piece is expected in these words, for one language (p has one column)."""
-        a = self.forward(p)
-        b = np.zeros_like(a)
-        b[self.n] = 1
-        for k in range(len(self.spans) - 1, -1, -1):
-            i, j = self.spans[k]
-            b[i] += b[j] * p[self.ids[:, k]]
-        scale = times / np.maximum(a[self.n][:, 0], 1e-300)
+        total, a, up = self.forward(p, every=True)
+        a, up, total, p = a[..., 0], up[..., 0], total[:, 0], p[:, 0]
+        b, down, scale = np.zeros_like(a), np.zeros_like(a), np.zeros(a.shape[1])
+        b[self.size, np.arange(len(self.size))] = 1
+        reach = max((k for found in self.ending for k, _, _ in found), default=1)
         out = np.zeros(size)
-        for k, (i, j) in enumerate(self.spans):
-            out += np.bincount(self.ids[:, k], a[i][:, 0] * p[self.ids[:, k], 0] * b[j][:, 0] * scale, size)
+        for j in range(self.n, -1, -1):
+            if j % RESCALE == 0:
+                near = slice(max(0, j - reach), j + 1)
+                most = np.where((b[j] > 0) & (self.size > j), b[j], 1)
+                b[near] /= most
+                scale = scale + np.log(most)
+                down[near] = scale
+            else:
+                down[max(0, j - reach) : j + 1] = scale
+            for k, w, ids in self.ending[j]:
+                i = j - k
+                part = p[ids] * b[j][w]
+                out += np.bincount(ids, times[w] * a[i][w] * part * np.exp(up[i][w] + down[j][w] - total[w]), size)
+                b[i][w] += part
         return out
 
 
-def by_length(words) -> list[list[str]]:
-    groups = defaultdict(list)
-    for w in words:
-        groups[len(w)].append(w)
-    return [g[k : k + 4096] for g in groups.values() for k in range(0, len(g), 4096)]
+def long_forward(word: str, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """The forward pass over one long word, all pieces that end at a position at once."""
+    spans = pieces.spans(points([MARK + word]))
+    n, reach = len(word) + 1, len(spans)
+    ids = np.zeros((n + 1, reach), dtype=np.int32)  # [end, reach - width]
+    for k, found in enumerate(spans, 1):
+        ids[k:, reach - k] = found[0]
+    a, scale = np.zeros((n + 1 + reach, p.shape[1])), np.zeros(p.shape[1])
+    a[reach] = 1
+    for j in range(1, n + 1):
+        a[reach + j] = (a[j : j + reach] * p[ids[j]]).sum(axis=0)
+        if j % RESCALE == 0:
+            most = a[j + 1 : reach + j + 1].max(axis=0)
+            a[j + 1 : reach + j + 1] /= most
+            scale += np.log(most)
+    return np.log(a[reach + n]) + scale
+
+
+def by_length(words: list[str], exact: bool = False) -> list[np.ndarray]:
+    """The places of words of about the same length (of the same with `exact`), about LETTERS letters in a group."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(sizes, kind="stable")
+    sizes, groups, start = sizes[order], [], 0
+    while start < len(order):
+        least = int(sizes[start])
+        end = int(np.searchsorted(sizes, least if exact else least * 1.2, "right"))
+        end = min(end, start + max(1, LETTERS // int(sizes[end - 1] + 1)))
+        groups.append(order[start:end])
+        start = end
+    return groups
 
 
 class Model:
@@ -105,53 +229,44 @@ class Model:
 
 
 class Scorer:
-    """Log probabilities of words, kept for the words seen last."""
-
     def __init__(self, model: Model):
-        self.model, self.number = model, {p: k + 2 for k, p in enumerate(model.pieces)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.model.langs) + 1))
-
-    def add(self, found: set[str]) -> None:
-        """The last column counts the parts with letters."""
-        parts = {w: letters_of(w) for w in found}
-        value: dict[str, np.ndarray] = {}
-        for group in by_length({p for ps in parts.values() for p in ps}):
-            a = Lattice(group, self.number).forward(self.model.probs)[-1]
-            value.update(zip(group, np.log(np.maximum(a, 1e-300)), strict=True))
-        need = len(self.at) + len(found)
-        if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
-        for w, ps in parts.items():
-            k = self.at[w] = len(self.at)
-            for p in ps:
-                self.rows[k, :-1] += value[p]
-            self.rows[k, -1] = len(ps)
+        self.model, self.pieces = model, Pieces(model.pieces)
+
+    def logs(self, found: list[str]) -> np.ndarray:
+        """(words x languages + 1) log probabilities; the last column counts the parts with letters."""
+        if all(map(str.isalpha, found)):
+            value = np.ones((len(found), len(self.model.langs) + 1))
+            for group in by_length(found):
+                words = [found[k] for k in group]
+                if len(words[0]) > LONG:
+                    value[group, :-1] = [long_forward(w, self.pieces, self.model.probs) for w in words]
+                else:
+                    value[group, :-1] = Lattice(words, self.pieces).forward(self.model.probs)
+            return value
+        parts = [letters_of(w) for w in found]
+        at = {p: k for k, p in enumerate({p for ps in parts for p in ps})}
+        value = self.logs(list(at))
+        return np.array([value[[at[p] for p in ps]].sum(axis=0) for ps in parts]).reshape(len(parts), value.shape[1])
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for k in range(0, len(texts), 256):
-            found = [runs(t.lower()) if t else [] for t in texts[k : k + 256]]
-            new = {w for ws in found for w in ws if w not in self.at}
-            if len(self.at) + len(new) > CACHE and self.at:
-                self.clear()
-                new = {w for ws in found for w in ws}
-            if new:
-                self.add(new)
-            at = self.at
-            for ws in found:
-                total = self.rows[[at[w] for w in ws]].sum(0) if ws else None
-                if total is None or not total[-1] or not self.model.langs:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                logs = total[:-1]
-                best = int(logs.argmax())
-                langs.append(self.model.langs[best])
-                scores.append(float(1 / np.exp(logs - logs[best]).sum()))
+        for start, end in chunks(texts):
+            found = [runs(t.lower()) if t else [] for t in texts[start:end]]
+            flat = list(chain.from_iterable(found))
+            at = dict.fromkeys(flat)
+            # a constant row last, so that every text has one
+            rows = np.concatenate([self.logs(list(at)), np.zeros((1, len(self.model.langs) + 1))])
+            at.update(zip(at, range(len(at)), strict=True))
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.insert(np.fromiter(map(at.__getitem__, flat), dtype=np.int64, count=len(flat)), np.cumsum(sizes), len(at))
+            sizes += 1
+            totals = np.add.reduceat(rows[flat], np.cumsum(sizes) - sizes)
+            known = (totals[:, -1] > 0) & (len(self.model.langs) > 0)
+            logs = totals[:, :-1] if len(self.model.langs) else np.zeros((len(totals), 1))
+            best = logs.argmax(axis=1)
+            sure = 1 / np.exp(logs - logs[np.arange(len(logs)), best, None]).sum(axis=1)
+            langs += [self.model.langs[b] if k else UNKNOWN for k, b in zip(known, best, strict=True)]
+            scores += np.where(known, sure, 0.0).tolist()
         return langs, scores
 
 
@@ -171,13 +286,15 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str = VOCABULARY, docs_per_language: int = 1500, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str = VOCABULARY, docs_per_language: int = 1500, rounds: int = 3, most_languages: int = 1000) -> Model:
     """EM over about docs_per_language labelled rows of each language, chosen by a hash of the key.
 
     What reaches the driver is bounded: a row for each language, and one for each language and piece.
     """
     docs = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages in {lang}")
     pieces, langs = pieces_of(vocabulary), sorted(sizes)
     probs = np.zeros((len(pieces) + 2, len(langs)))
     if not langs:
@@ -198,13 +315,13 @@ def step(counts: DataFrame, pieces: list[str], langs: list[str], probs: np.ndarr
     size = len(pieces) + 2
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {p: k + 2 for k, p in enumerate(pieces)}
+        known = Pieces(pieces)
         total = np.zeros((size, len(langs)))
         for b in batches:
             for code, rows in b.groupby("lang"):
-                c, times = langs.index(code), dict(zip(rows["word"], rows["n"], strict=True))
-                for group in by_length(times):
-                    total[:, c] += Lattice(group, number).expected(probs[:, [c]], np.array([times[w] for w in group], dtype=float), size)
+                c, words, times = langs.index(code), rows["word"].tolist(), rows["n"].to_numpy(dtype=float)
+                for group in by_length(words):
+                    total[:, c] += Lattice([words[k] for k in group], known).expected(probs[:, [c]], times[group], size)
         at, c = np.nonzero(total)
         yield pd.DataFrame({"piece": at, "lang": c, "n": total[at, c]})
 

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.llm import decontam, fingerprint, language_id, mixing, neardup, pii, ppm, quality, secrets, warc
 from millrace.llm.common import appended, chunks, fold, fresh
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the cat sat on the mat and the dog ran to the house with a ball of red wool".split()
 DE = "der hund lief durch den wald und die katze schlief auf dem dach über der küche".split()
@@ -72,17 +75,58 @@ def test_language_id(docs, empty, spark):
     assert [r.lang_pred for r in language_id.predict(docs.limit(2), none).collect()] == ["und", "und"] and language_id.predict(empty, m).count() == 0
 
 
-def test_forward_pass_sums_all_segmentations():
-    pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
-    p = np.array([[0.0], [1e-6], [0.2], [0.3], [0.1], [0.2], [0.15], [0.05]])
+def test_passes_sum_all_segmentations():
+    """log probabilities and expected counts against exact fractions, for runs of up to 401 letters."""
+    r = random.Random(1)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bbb", "▁abab"]
+    p = np.array([0, 1e-6, 0.2, 0.3, 0.1, 0.2, 0.15, 0.05, 0.02, 0.01])
     number = {x: k + 2 for k, x in enumerate(pieces)}
+    chance = lambda x: Fraction(p[number[x]]) if x in number else Fraction(p[1]) if len(x) == 1 else Fraction(0)
+
+    def brute(word):
+        s = "▁" + word
+        n = len(s)
+        up, down, counts = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)], np.zeros(len(p))
+        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - 5), j)]
+        for i, j in spans:
+            up[j] += up[i] * chance(s[i:j])
+        for i, j in sorted(spans, key=lambda x: -x[0]):
+            down[i] += down[j] * chance(s[i:j])
+        for i, j in spans:
+            if q := chance(s[i:j]):
+                counts[number.get(s[i:j], 1)] += float(up[i] * q * down[j] / up[n])
+        return math.log(up[n].numerator) - math.log(up[n].denominator), counts
+
+    words = ["ab", "aba", "bbab", "abç", "xxxxx", "ababab" * 20, "z" * 200, "ab" * 200 + "q"] + ["".join(r.choices("abc", k=r.randrange(1, 90))) for _ in range(25)]
+    expected = [brute(w) for w in words]
+    times, known = np.arange(1.0, len(words) + 1), language_id.Pieces(pieces)
+    for groups in (language_id.by_length(words), [np.arange(len(words))]):
+        counts = np.zeros(len(p))
+        for g in groups:
+            lattice = language_id.Lattice([words[k] for k in g], known)
+            assert all(language_id.long_forward(words[k], known, p[:, None])[0] == pytest.approx(expected[k][0]) for k in g)
+            assert lattice.forward(np.stack([p, p], axis=1))[:, 1] == pytest.approx([expected[k][0] for k in g])
+            counts += lattice.expected(p[:, None], times[g], len(p))
+        assert counts == pytest.approx(sum(t * c for t, (_, c) in zip(times, expected, strict=True)))
+    assert language_id.letters_of("ab1ç") == ["ab", "ç"]
 
-    def brute(s):
-        return 1.0 if not s else sum(p[number[s[:k]], 0] * brute(s[k:]) for k in range(1, len(s) + 1) if s[:k] in number)
 
-    for w in ("ab", "aba", "bbab"):
-        assert language_id.Lattice([w], number).forward(p)[-1][0, 0] == pytest.approx(brute("▁" + w))
-    assert language_id.letters_of("ab1ç") == ["ab", "ç"]
+def test_language_id_held_out(spark):
+    """Held-out accuracy on the shared documents: rows that the model hasn't learned from."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    m = language_id.fit(d.filter(fold(4) != 2))
+    held = language_id.predict(d.filter(fold(4) == 2), m).filter("lang is not null and lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert len(held) > 20 and np.mean([r.lang == r.lang_pred for r in held]) > 0.95
+    many = d.withColumn("lang", F.col("doc_id").cast("string"))
+    with pytest.raises(ValueError, match="more than 5"):
+        language_id.fit(many, most_languages=5)
+
+
+def test_long_runs_of_letters(spark, docs):
+    m = language_id.fit(docs)
+    rows = [(1, "katze" * 30_000, None, None, None), (2, "the" * 17 + " sat on the mat", None, None, None), (3, "²³ ½", None, None, None), (4, "the² cat³sat", None, None, None)]
+    got = {r.doc_id: r for r in language_id.predict(table(spark, rows), m).collect()}
+    assert (got[1].lang_pred, got[3].lang_pred, got[4].lang_pred) == ("de", "und", "en") and got[2].lang_pred in ("de", "en") and got[3].score == 0
 
 
 # 1 quality
