@@ -307,15 +307,86 @@ def test_near_duplicates(spark, k):
                 w[r.randrange(len(w))] = r.choice(words)
             rows.append((n, " ".join(w)))
             n += 1
+    rows += [(7000, rows[0][1])] * 40 + [(7000, rows[70][1]), (7001, rows[90][1]), (7001, rows[75][1])]  # repeated ids: equal and different texts
     rows += [(n, rows[0][1].upper()), (n + 1, rows[0][1] + " \n"), (n + 2, "one"), (n + 3, "ONE"), (n + 4, None), (n + 5, " "), (n + 6, ""), (None, rows[0][1]), (5, rows[5][1]), (2**60 + 1, "one")]
     r.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(clashing(d), shingle=k).collect()}
-    assert got == brute_components(rows, k, 80)
-    assert all(x.kept == (x.doc_id is None or x.doc_id == x.component_id) for x in neardup.near_duplicates(d, shingle=k).collect())
+    got = neardup.near_duplicates(clashing(d), shingle=k).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == brute_components(rows, k, 80) and len(got) == len(rows)
+    assert all(x.kept == (x.doc_id is None or x.doc_id == x.component_id) for x in got)
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
+def brute_parts(texts, k, percent):
+    """Smallest index that links reach, by one matrix of all intersections."""
+    found = [set(zip(*[t.split()[i:] for i in range(k)], strict=False)) for t in texts]
+    at = {x: j for j, x in enumerate({x for s in found for x in s})}
+    m = np.zeros((len(texts), len(at)), dtype=np.float32)
+    for i, s in enumerate(found):
+        m[i, [at[x] for x in s]] = 1
+    both, sizes = m @ m.T, m.sum(1)
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+    out = np.arange(len(texts))
+    while True:
+        new = np.where(near, out[None], len(texts)).min(axis=1)
+        if (new == out).all():
+            return out.tolist()
+        out = new
+
+
+def loose_family(n, seed):
+    """n variants of a text, most alike but not linked with most others."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 4, 6, 8, 9])):
+            w[at] = f"x{r.randrange(40)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_large_loose_family_in_blocks(spark, monkeypatch):
+    """Several blocks in both passes, and buckets torn into blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(neardup, "NEAR_BLOCK", 30)
+    monkeypatch.setattr(neardup, "CENTRES", 3)
+    texts = loose_family(900, 3)
+    expected = brute_parts(texts, 2, 80)
+    assert 20 < len(set(expected)) < 900
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), shingle=2).collect()}
+    assert [got[k] for k in range(900)] == expected
+
+
+def test_family_of_thousands(spark):
+    texts = loose_family(5200, 4)
+    expected = brute_parts(texts, 2, 80)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), shingle=2).collect()}
+    assert [got[k] for k in range(len(texts))] == expected
+
+
+def test_other_thresholds(spark):
+    assert neardup.banding(80) == (42, 6)
+    with pytest.raises(ValueError, match="percent"):
+        neardup.banding(5)
+    texts = loose_family(150, 5)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent in (50, 95):
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(d, shingle=2, percent=percent).collect()}
+        assert [got[k] for k in range(150)] == brute_parts(texts, 2, percent)
+
+
+def test_sets_near_one_of_two_centres_meet(spark):
+    """a and b are linked; a is near the first centre of their buckets only, b near the second only."""
+    w = [f"w{k}" for k in range(200)]
+    step = lambda n: " ".join([f"y{k}" for k in range(n)] + w[n:])
+    texts = [step(0), step(20), step(30), step(50)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(d, shingle=2).collect()}
+    assert [got[k] for k in range(4)] == brute_parts(texts, 2, 80)
+
+
 def test_hyperminhash_estimates():
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
