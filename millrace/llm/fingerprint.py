@@ -8,8 +8,8 @@ text has them, and the tuple is hashed to 16 bits. Both what the texts share and
 they have it decide how many slots agree, which is why the share of equal slots falls with the edit
 distance and not only with the overlap of sets.
 
-All of it happens within a row, by higher-order functions over packed numbers (40 bits of hash, 23
-bits of position): one sort by k-mer for the occurrence numbers, one by hash for the selection.
+All of it happens within a row, by higher-order functions over packed numbers (32 bits of hash, 31
+bits of position, as many as an array can have): one sort by k-mer for the occurrence numbers, one by hash for the selection.
 Nothing is shuffled to fingerprint a text.
 
 Defined cases: null counts as empty; texts without a word share the fingerprint of zeros, and two of
@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K, SLOTS, TUPLE = 2, 64, 2
-PLACE = 23
-HASH40 = (1 << 40) - 1
+PLACE = 31
+HASH = (1 << 32) - 1
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -44,7 +44,7 @@ def place(packed: Column) -> Column:
 
 
 def packed(hashed: Column, at: Column) -> Column:
-    return F.shiftleft(hashed.bitwiseAND(HASH40), PLACE).bitwiseOR(at)
+    return F.shiftleft(hashed.bitwiseAND(HASH), PLACE).bitwiseOR(at)
 
 
 def kmers(words: Column, k: int) -> Column:
@@ -71,7 +71,7 @@ def numbered(found: Column) -> Column:
 
 def signature(items: Column, slots: int, size: int) -> Column:
     """The slots' 16-bit tuple hashes (1 to 65535; 0 where the text has no k-mer)."""
-    part = lambda i: F.floor(F.shiftright(F.get(items, i), PLACE) / ((HASH40 + 1) // slots)).cast("int")
+    part = lambda i: F.floor(F.shiftright(F.get(items, i), PLACE) / ((HASH + 1) // slots)).cast("int")
     n = F.size(items)
     # items at which a part begins that has no smaller item of its own: as often as parts end there
     gain = lambda i: part(i) - F.when(i == 0, -1).otherwise(part(i - 1))
@@ -80,8 +80,8 @@ def signature(items: Column, slots: int, size: int) -> Column:
     def select(begin: Column) -> Column:
         def slot(i: Column) -> Column:
             own = [F.get(items, F.pmod(i + j, n)) for j in range(size)]
-            in_order = F.sort_array(F.array(*[F.shiftleft(place(x), 40).bitwiseOR(F.shiftright(x, PLACE)) for x in own]))
-            return (F.pmod(F.xxhash64(F.transform(in_order, lambda x: x.bitwiseAND(HASH40))), F.lit(65535)) + 1).cast("int")
+            in_order = F.sort_array(F.array(*[F.shiftleft(place(x), 32).bitwiseOR(F.shiftright(x, PLACE)) for x in own]))
+            return (F.pmod(F.xxhash64(F.transform(in_order, lambda x: x.bitwiseAND(HASH))), F.lit(65535)) + 1).cast("int")
 
         return F.transform(F.concat(begin, F.array_repeat(F.lit(0), F.lit(slots) - F.size(begin))), slot)
 

@@ -20,7 +20,8 @@ fits. So reruns agree, and what a source misses of its target shrinks with each
 
 Targets: sources in code point order, null last, weigh `weights`, repeating, and share `budget`
 times all tokens; a target stops at `most` times the source's size and the excess is shared again by
-weight among the others until none is above (water filling, by one ordered pass over the sources).
+weight among the others until none is above (water filling: the level is raised by two sums over the
+sources until no more of them fill up).
 
 Defined cases: null or empty text: size 0, takes 0 tokens. Sources of size 0: target 0. Rows that
 repeat (equal key, source and size) get equal copies. An empty table gives an empty mix.
@@ -46,24 +47,37 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with _rank: its place in code point order from 0 on, null last. Ranges are ranked side by side."""
+    dealt = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a row for each partition
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    here = F.row_number().over(W.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.withColumn("_here", here).join(before, "_part").withColumn("_rank", F.col("_before") + F.col("_here")).drop("_part", "_here", "_before")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2) -> DataFrame:
     """sources: (source, source_size), a row for each. Adds its target."""
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
+    turn = F.pmod(F.col("_rank"), F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int") + 1)
-    s = sources.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most)
-    # by rising cap / weight: the sources before the level's place are full
-    by = W.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    s = (
-        s.withColumn("_full", F.sum("_cap").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_cap"))
-        .withColumn("_open", F.sum("_w").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
-        .withColumn("_total", budget * F.sum("source_size").over(W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_open"))
-    )
-    # the level at the first source that doesn't fill up holds for all from there on
-    fits = F.when(F.col("_level") * F.col("_w") < F.col("_cap"), F.col("_level"))
-    s = s.withColumn("_water", F.first(fits, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return s.select("source", "source_size", F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least(F.col("_water") * F.col("_w"), F.col("_cap"))).cast("double").alias("target"))
+    s = cut(ranked(sources).withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most).drop("_rank"))
+    total = budget * (s.agg(F.sum("source_size")).first()[0] or 0)
+    # the level rises as sources fill up, until no more do; two sums reach the driver each time
+    level = 0.0
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("_w")
+        caps, open_ = s.agg(F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w")))).first()
+        if not open_:
+            level = None
+            break
+        higher = max(0.0, total - (caps or 0)) / open_
+        if higher <= level:
+            break
+        level = higher
+    target = F.col("_cap") if level is None else F.least(F.lit(level) * F.col("_w"), F.col("_cap"))
+    return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def tilt(lam: Column, x: Column, most: int) -> Column:
@@ -102,8 +116,9 @@ def solve(sizes: DataFrame, goals: DataFrame, most: int = 2, rounds: int = 40, c
             )
         )
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("source", "source_size", "target", "scale", "full", "lam")
+            # so that the order of sums decides nothing
+            return state.select("source", "source_size", "target", "scale", "full", F.round("lam", 10).alias("lam"))
+    raise RuntimeError(f"rates have not converged after {rounds} rounds")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, fills: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ Everything is done within a row; nothing is shuffled. The forest and the diction
 travel with the tasks.
 
 Defined cases: null and empty texts have no candidate and stay as they are. Candidates that overlap
-are one: the earlier and longer. Repeated rows each get their findings. A document without an
+are judged one by one; accepted ones are masked together. Repeated rows each get their findings. A document without an
 accepted finding is returned unchanged.
 """
 
@@ -36,9 +36,11 @@ NAMED = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|pr
 RULES = (
     ("key_id", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("prefixed", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})")),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")),
+    # up to its end mark; cut off: header lines and lines of base64 only
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Z][A-Za-z-]+: [^\n]*)*(?:\s+[A-Za-z0-9+/]{16,}={0,2}(?![^\s]))*)")),
     ("assigned", re.compile(rf"(?i)(?<![a-z])(?:{NAMED})[\"']?\s{{0,2}}(?:=|:|=>)\s{{0,2}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}})")),
-    ("mixed", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}")),
+    ("mixed", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}")),
+    ("phrase", re.compile(rf"(?i)(?<![a-z])(?:{NAMED})[\"']?\s{{0,2}}(?:=|:|=>)\s{{0,2}}(?P<quote>[\"'])(?P<value>(?=[^\"'\n]*\s)[^\"'\n]{{6,}})(?P=quote)")),
 )
 TELLING = re.compile(rf"(?i)(?:{NAMED}|key|login|bearer)")
 DIGEST = re.compile(r"(?i)(?:sha\d*|md5|commit|checksum|digest|etag|integrity|uuid|guid|hash|revision|version|serial|order|invoice|isbn|id)\b")
@@ -59,19 +61,14 @@ def dictionary(path: str = DICTIONARY) -> frozenset[str]:
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, end, rule number), by start, without overlaps."""
+    """(start, end, rule number), by start; one for each span, by the first rule that gives it. Spans may overlap."""
     if not text:
         return []
-    found = []
+    found: dict[tuple[int, int], int] = {}
     for k, (_, rule) in enumerate(RULES):
         for m in rule.finditer(text):
-            found.append((*m.span("value" if "value" in rule.groupindex else 0), k))
-    found.sort(key=lambda x: (x[0], -x[1], x[2]))
-    out: list[tuple[int, int, int]] = []
-    for x in found:
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
-    return out
+            found.setdefault(m.span("value" if "value" in rule.groupindex else 0), k)
+    return sorted(((s, e, k) for (s, e), k in found.items()), key=lambda x: (x[0], -x[1], x[2]))
 
 
 def coverage(value: str, words: frozenset[str]) -> float:
@@ -203,7 +200,7 @@ def labelled_findings(words: frozenset[str], n: int = 3000, seed: int = 9) -> li
         return o[-1] if o[-1] in "\"'" else ""
 
     def secret() -> str:
-        form = r.randrange(8)
+        form = r.randrange(10)
         o = op()
         if form == 0:
             return "AKIA" + pick(up + "234567" + num, 16)
@@ -217,6 +214,10 @@ def labelled_findings(words: frozenset[str], n: int = 3000, seed: int = 9) -> li
             return name() + o + pick(low + up + num + "!#%&*-_", r.randrange(9, 20)) + close(o)
         if form == 6:
             return r.choice(["bearer ", "key ", "secret ", "token "]) + pick(low + up + num, r.randrange(24, 48))
+        if form == 7:
+            return name() + o + word() + pick(num, r.randrange(1, 4)) + close(o)
+        if form == 8:
+            return name() + r.choice(["=", " = ", ": "]) + "\"" + say(r.randrange(2, 4)) + " " + pick(num, r.randrange(1, 3)) + "\""
         return name() + o + r.choice([word() + pick(num, 3) + pick("!#%&", 1) + pick(up, 2), word().title() + pick("!#%&", 1) + pick(num + up, 5)]) + close(o)
 
     def harmless() -> str:
@@ -298,7 +299,8 @@ def masked(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     if not spans:
         return text
     parts, at = [], 0
-    for s, e in spans:
-        parts += [text[at:s], MASK]
-        at = e
+    for s, e in sorted(spans):
+        if s >= at:
+            parts += [text[at:s], MASK]
+        at = max(at, e)
     return "".join([*parts, text[at:]])
