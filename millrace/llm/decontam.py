@@ -40,6 +40,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import appended
 
 WALKS, TABLES = 16, 48
+#: So many steps of all walks are held at once.
+STEPS = 1 << 20
 GRAM, LEAST = 3, 6
 #: Odd multipliers that mix 64-bit hashes.
 MIX, ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -112,35 +114,45 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def walk(h: np.ndarray, starts: np.ndarray, m: int, number: int) -> np.ndarray:
-    """The CGK embeddings (windows x 2 m) of the windows of m tokens that begin at starts; 0 past a window's end."""
+def walks(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """The CGK embeddings (steps x WALKS x windows) of the windows of m tokens that begin at starts; 0 past a window's end."""
     padded = np.append(h, np.uint64(0))
-    at, end = starts.copy(), np.minimum(starts + m, len(h))
-    out = np.zeros((len(starts), 2 * m), dtype=np.uint64)
+    end = np.minimum(starts + m, len(h))
+    at = np.tile(starts, (WALKS, 1))
+    out = np.zeros((2 * m, WALKS, len(starts)), dtype=np.uint64)
     for j in range(2 * m):
-        here = np.where(at < end, padded[np.minimum(at, len(h))], np.uint64(0))
-        out[:, j] = here
-        bit = ((here ^ np.uint64(int(ADD) * (j + 1 + 4096 * number) % (1 << 64))) * MIX) >> np.uint64(63)
-        at += bit.astype(np.int64)
+        here = padded[np.minimum(at, len(h))]
+        here[at >= end] = 0
+        out[j] = here
+        salt = np.array([int(ADD) * (j + 1 + 4096 * n) % (1 << 64) for n in range(WALKS)], dtype=np.uint64)
+        at += (((here ^ salt[:, None]) * MIX) >> np.uint64(63)).astype(np.int64)
     return out
 
 
+_samples: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+
 def samples(m: int) -> list[tuple[int, np.ndarray]]:
     """(walk, positions) of each table, for windows of m tokens: fixed for all time."""
+    if m in _samples:
+        return _samples[m]
     chance = np.random.default_rng(m)
-    return [(t % WALKS, np.sort(chance.choice(2 * m, width(m), replace=False))) for t in range(TABLES)]
+    _samples[m] = [(t % WALKS, np.sort(chance.choice(2 * m, width(m), replace=False))) for t in range(TABLES)]
+    return _samples[m]
 
 
 def keys(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     """(windows x TABLES) bucket keys, different for each table and length."""
-    walks = {n: walk(h, starts, m, n) for n in range(WALKS)}
     out = np.zeros((len(starts), TABLES), dtype=np.uint64)
     out += np.uint64(m) << np.uint64(16)
     out += np.arange(TABLES, dtype=np.uint64)
-    for t, (n, at) in enumerate(samples(m)):
-        for p in at:
-            out[:, t] = (out[:, t] ^ walks[n][:, p]) * MIX
-            out[:, t] ^= out[:, t] >> np.uint64(31)
+    few = max(1, STEPS // (2 * m * WALKS))
+    for k in range(0, len(starts), few):
+        steps, part = walks(h, starts[k : k + few], m), out[k : k + few]
+        for t, (n, at) in enumerate(samples(m)):
+            for p in at:
+                part[:, t] = (part[:, t] ^ steps[p, n]) * MIX
+                part[:, t] ^= part[:, t] >> np.uint64(31)
     return out
 
 
