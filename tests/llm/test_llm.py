@@ -228,6 +228,34 @@ def test_pii(spark, empty):
     assert pii.surrogates(empty, "k").count() == 0
 
 
+def test_pii_scripts_and_untitled_mentions(spark):
+    rows = [
+        (1, "Mr. John Smith wrote. Later Smith said John would come; Smithson and Johnny stay, SMITH too."), (2, "Mrs. Ελένη Παπαδοπούλου met Ελένη"), (3, "write to 王伟@例子.cn or みな@カナ.jp"), (4, "Dr. 王伟 and 王伟"),
+        (None, "Mr. John Smith"), (None, "Smith alone"), (5, "Mr. Smith, " * 20_000), (5, "Mr. Smith, " * 20_000),
+    ]
+    got = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    new = {t: next(r.surrogate_text for r in got if r.text == t) for _, t in rows}
+    words = new[rows[0][1]].replace(".", " ").replace(";", " ").replace(",", " ").split()
+    given, last = words[1:3]
+    assert "John" not in words and "Smith" not in words and words.count(given) == 2 and words.count(last) == 2 and {"Smithson", "Johnny", "SMITH"} <= set(words)
+    greek = new[rows[1][1]].split()
+    assert greek[1] == greek[4] != "Ελένη" and all(0x370 <= ord(c) < 0x400 or 0x1F00 <= ord(c) < 0x2000 for w in greek[1:3] for c in w) and greek[1][0].isupper()
+    han = new[rows[2][1]]
+    assert han != rows[2][1] and all(ord(c) >= 0x3000 for c in han.split()[2].split(".")[0].replace("@", "")) and han.split()[2].endswith(".cn") and han.split()[4].endswith(".jp")
+    assert new[rows[3][1]].split()[1] == new[rows[3][1]].split()[3] != "王伟" and all(0x4E00 <= ord(c) <= 0x9FFF for c in new[rows[3][1]].split()[1])
+    assert new["Smith alone"] == "Smith alone" and new["Mr. John Smith"] == f"Mr. {given} {last}" and set(new[rows[6][1]].split()) == {"Mr.", f"{last},"}
+
+
+def test_pii_surrogates_do_not_run_out(spark):
+    """More entities of a kind than its first surrogates have forms: distinct ones, none of them an original."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k % 26] + letters[k // 26 % 26] + letters[k // 676]
+    rows = [(k, f"Mrs. N{name(k)} Roe") for k in range(5000)] + [(9000 + k, f"госпожа {n} Роева") for k, n in enumerate("Ада Рая Ира Юля Таня Катя Аня Оля Лена Света Рита Вика Люба Маша Даша Саша Валя Нюра Зина Клава Тося Фая Нюта".split())]
+    got = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    drawn = {r.doc_id: r.surrogate_text.split()[1] for r in got}
+    assert len(set(drawn.values())) == len(rows) and not set(drawn.values()) & {t.split()[1] for _, t in rows}
+
+
 def test_pii_collisions_are_resolved(spark):
     rows = [(k, f"Mrs. Name{chr(97 + k % 26)}{chr(97 + k // 26)} Roe{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(300)]
     got = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
