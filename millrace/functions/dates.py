@@ -189,14 +189,18 @@ def section(c: Column, code: str) -> Column:
     bare = re.sub(r"\"[^\"]*\"|\\.|\[[^\]]*\]", "", code)
     if re.search(r"[ymdhs]", bare, re.I) and not re.search(r"[0#?]", bare):
         return F.date_format(excel_serial(c), date_pattern(code))
-    m = re.search(r"[#0?,]*[#0?](?:\.[#0?]*)?(?:E[+-]0+)?%?", code)
+    m = re.search(r"[#0?,]*[#0?],*(?:\.[#0?]*)?(?:E[+-]0+)?", code)
     literal = lambda t: re.sub(r"\"([^\"]*)\"|\\(.)|\[[^\]]*\]|_.|\*.", lambda x: x[1] or x[2] or "", t)
     if not m:
         return F.lit(literal(code))
     body = m[0]
-    whole, _, rest = body.rstrip("%").partition(".")
+    whole, _, rest = body.partition(".")
     places = len(re.match(r"[#0?]*", rest)[0])
-    value = c * 100 if body.endswith("%") else c
+    # each percent sign multiplies by 100, each comma after the last whole digit divides by 1000
+    commas = len(re.search(r",*(?=$|E)", whole)[0])
+    whole = re.sub(r",+(?=$|E)", "", whole)
+    scale = 100.0 ** bare.count("%") / 1000.0**commas
+    value = c if scale == 1 else c * scale
     if "E" in body:
         text = F.regexp_replace(F.format_string(f"%.{places}E", value), r"E([+-])0*(\d)", "E$1$2")
         digits = len(re.search(r"E[+-](0+)", body)[1])
@@ -212,7 +216,7 @@ def section(c: Column, code: str) -> Column:
         if optional:
             text = F.regexp_replace(text, rf"0{{0,{optional}}}$", "")
             text = F.regexp_replace(text, r"\.$", "")
-    return F.concat(F.lit(literal(code[: m.start()])), text, F.lit("%" if body.endswith("%") else ""), F.lit(literal(code[m.end() :])))
+    return F.concat(F.lit(literal(code[: m.start()])), text, F.lit(literal(code[m.end() :])))
 
 
 def date_pattern(code: str) -> str:

@@ -303,12 +303,13 @@ def build_url(base: Column | str, params: dict[str, Column]) -> Column:
 def translated(df: DataFrame, catalogue: DataFrame, key: str, locale: str, fallback: str, params: dict[str, Column] | None = None, count: Column | None = None, name: str = "text") -> DataFrame:
     """Looks `key` up in catalogue (locale, key, text), then in the fallback locale, else the key itself; fills {params}.
 
+    Of repeated keys of a locale the smallest text counts.
     count: `key.one` is used for 1 and `key.other` otherwise, where they exist.
     """
     wanted = F.col(key) if count is None else F.concat(F.col(key), F.when(count == 1, ".one").otherwise(".other"))
     d = df.withColumn("_k", wanted)
     for n, code in enumerate((locale, fallback)):
-        part = catalogue.filter(F.col("locale") == code).select(F.col("key").alias("_k"), F.col("text").alias(f"_t{n}")).dropDuplicates(["_k"])
+        part = catalogue.filter(F.col("locale") == code).groupBy(F.col("key").alias("_k")).agg(F.min("text").alias(f"_t{n}"))
         d = d.join(part, "_k", "left")
     text = F.coalesce("_t0", "_t1", F.col(key))
     return d.withColumn(name, format_text(text, params or {})).drop("_k", "_t0", "_t1")

@@ -110,8 +110,9 @@ def sparse_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
     return filled(cells).select(*keys, "row", "col", F.concat(cell_address("row", "col"), F.lit(": "), F.col("value")).alias("line"))
 
 
-def expand_repeats(cells: DataFrame, row_repeat: str = "row_repeat", col_repeat: str = "col_repeat", most: int = 1000) -> DataFrame:
-    """Run-length cells: rows and columns repeated up to `most` times."""
-    times = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)), F.lit(most))
+def expand_repeats(cells: DataFrame, row_repeat: str = "row_repeat", col_repeat: str = "col_repeat", most: int | None = None) -> DataFrame:
+    """Run-length cells: rows and columns repeated in full, or up to `most` times where it is given."""
+    full = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1))
+    times = lambda c: full(c) if most is None else F.least(full(c), F.lit(most))
     d = cells.withColumn("_r", F.explode(F.sequence(F.lit(0), times(row_repeat) - 1))).withColumn("_c", F.explode(F.sequence(F.lit(0), times(col_repeat) - 1)))
     return d.withColumn("row", F.col("row") + F.col("_r")).withColumn("col", F.col("col") + F.col("_c")).drop("_r", "_c", row_repeat, col_repeat)

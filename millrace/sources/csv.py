@@ -51,11 +51,11 @@ def parse(text: str, o: Options = Options()) -> list[list[str]]:
             if not m[2]:
                 raise ValueError(f"csv: the quote at {at} isn't closed")
             rest = plain.match(text, m.end())
-            value, at = m[1].replace(o.quote * 2, o.quote) + rest[0], rest.end()
+            value, at, bare = m[1].replace(o.quote * 2, o.quote) + rest[0], rest.end(), False
         else:
             m = plain.match(text, at)
-            value, at = m[0], m.end()
-        row.append(value.strip() if o.trim else value)
+            value, at, bare = m[0], m.end(), True
+        row.append(value.strip() if o.trim and bare else value)
         if text[at : at + 1] == o.delimiter:
             at += 1
             if at == len(text):

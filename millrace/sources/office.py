@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col
 
 PARTS, PART_BYTES, RATIO = 10_000, 256 << 20, 200
-ROWS, CELLS, REPEAT = 200_000, 5_000_000, 1000
+#: The rows that a sheet can have, and how many cells of a book are read before it is refused (ValueError).
+ROWS, CELLS = 1_048_576, 5_000_000
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -191,7 +192,7 @@ def escape(s: str) -> str:
 
 
 def ods_cells(data: bytes) -> Iterator[tuple]:
-    """(sheet, row, col, type, value, formula); repeats expanded up to REPEAT times where they hold a value."""
+    """(sheet, row, col, type, value, formula); repeats that hold a value are expanded in full."""
     parts = parts_of(data)
     if "content.xml" not in parts:
         raise ValueError("no content")
@@ -210,9 +211,9 @@ def ods_cells(data: bytes) -> Iterator[tuple]:
                 value = {"float": attr(c, "value"), "percentage": attr(c, "value"), "currency": attr(c, "value"), "date": attr(c, "date-value"), "time": attr(c, "time-value"), "boolean": attr(c, "boolean-value"), "string": attr(c, "string-value", text)}.get(kind, text or None)
                 f = attr(c, "formula")
                 if value not in (None, "") or f is not None:
-                    cells += [(at + k, {"float": "number"}.get(kind, kind or "string"), value, f) for k in range(1, min(n, REPEAT) + 1)]
+                    cells += [(at + k, {"float": "number"}.get(kind, kind or "string"), value, f) for k in range(1, n + 1)]
                 at += n
-            for k in range(1, (min(times, REPEAT) if cells else 0) + 1):
+            for k in range(1, (times if cells else 0) + 1):
                 for at_, kind, value, f in cells:
                     total += 1
                     if total > CELLS:

@@ -222,13 +222,18 @@ def track_stream(events: DataFrame, key: str, seq: str, arrival: str) -> DataFra
     return d.groupBy(key).applyInPandasWithState(run, d.select("*", F.lit("").alias("status"), F.lit(0).cast("long").alias("missing")).schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def conceal(events: DataFrame, by: list[str], seq: str, arrival: str, value: str, most: int = 1000) -> DataFrame:
-    """(by, seq, value, concealed): late and repeated frames dropped, gaps of up to `most` filled with the value before them."""
+def conceal(events: DataFrame, by: list[str], seq: str, arrival: str, value: str, most: int | None = None, step: int = 10_000) -> DataFrame:
+    """(by, seq, value, concealed): late and repeated frames dropped, gaps (of up to `most` where it is given) filled with the value before them.
+
+    A gap is expanded `step` frames at a time, so that no long array is made.
+    """
     t = track(events, by, seq, arrival).filter("status in ('first', 'next', 'gap')")
     w = W.partitionBy(*by).orderBy(seq)
     d = t.withColumn("_before", F.lag(value).over(w))
     own = d.select(*by, seq, value, F.lit(False).alias("concealed"))
-    lost = d.filter((F.col("missing") > 0) & (F.col("missing") <= most)).select(*by, F.explode(F.sequence(F.col(seq) - F.col("missing"), F.col(seq) - 1)).alias(seq), F.col("_before").alias(value), F.lit(True).alias("concealed"))
+    gaps = d.filter(F.col("missing") > 0 if most is None else F.col("missing").between(1, most))
+    parts = gaps.select(*by, F.col(seq).alias("_end"), "_before", F.explode(F.sequence(F.col(seq) - F.col("missing"), F.col(seq) - 1, F.lit(step).cast("long"))).alias("_from"))
+    lost = parts.select(*by, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (step - 1), F.col("_end") - 1))).alias(seq), F.col("_before").alias(value), F.lit(True).alias("concealed"))
     return own.unionByName(lost)
 
 

@@ -100,7 +100,7 @@ def test_cron_errors():
             dates.cron_sets(bad)
 
 
-@pytest.mark.parametrize(("n", "code", "shown"), [(1234.5, "#,##0.00", "1,234.50"), (-5.0, "0.0;(0.0)", "(5.0)"), (0.256, "0.0%", "25.6%"), (12345.0, "0.00E+00", "1.23E+04"), (7.0, "000", "007"), (0.0, '0;-0;"none"', "none"), (45292.75, "yyyy-mm-dd hh:mm", "2024-01-01 18:00")])
+@pytest.mark.parametrize(("n", "code", "shown"), [(1234.5, "#,##0.00", "1,234.50"), (-5.0, "0.0;(0.0)", "(5.0)"), (0.256, "0.0%", "25.6%"), (12345.0, "0.00E+00", "1.23E+04"), (7.0, "000", "007"), (1234567.0, "#,##0,", "1,235"), (1234567.0, "0,,.0", "1.2"), (0.5, "%0", "%50"), (0.5, "0%%", "5000%%"), (0.0, '0;-0;"none"', "none"), (45292.75, "yyyy-mm-dd hh:mm", "2024-01-01 18:00")])
 def test_number_formats(spark, n, code, shown):
     assert one(spark, dates.format_code("n", code), n=n) == shown
 

@@ -1,6 +1,8 @@
 """Operators, sources and streams on hand-written rows."""
 
 import datetime as dt
+import io
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,7 +135,7 @@ def test_grid(spark):
     ("text", "options", "expected"),
     [
         ("a,b\r\n1,2\r3,4\n", {}, [["a", "b"], ["1", "2"], ["3", "4"]]), ('x,"a\nb","c""d"', {}, [["x", "a\nb", 'c"d']]), ('a\n\n""\nb', {}, [["a"], ["b"]]), ("a\n\nb", {"skip_empty": False}, [["a"], [""], ["b"]]),
-        ('#c\n"#d",1\nx', {"comment": "#"}, [["x"]]), ("1\n2\n3", {"skip_lines": 2}, [["3"]]), (" a ; b ", {"delimiter": ";", "trim": True}, [["a", "b"]]), ("", {}, []), ("a,", {}, [["a", ""]]),
+        ('#c\n"#d",1\nx', {"comment": "#"}, [["x"]]), ("1\n2\n3", {"skip_lines": 2}, [["3"]]), (" a ; b ", {"delimiter": ";", "trim": True}, [["a", "b"]]), ('" a "; b ', {"delimiter": ";", "trim": True}, [[" a ", "b"]]), ("", {}, []), ("a,", {}, [["a", ""]]),
     ],
 )
 def test_csv_parse(text, options, expected):
@@ -251,6 +253,22 @@ def test_tracker(spark):
     assert t.see(1) == ("gap", 1)
     d = spark.createDataFrame([(1, k, s, float(s)) for k, s in enumerate((1, 2, 5, 3, 5))], "layer int, arrival int, seq long, v double")
     assert rows(windows.conceal(d, ["layer"], "seq", "arrival", "v").select("seq", "v", "concealed"), "seq") == [(1, 1, False), (2, 2, False), (3, 2, True), (4, 2, True), (5, 5, False)]
+    far = spark.createDataFrame([(1, 0, 1, 1.0), (1, 1, 25_002, 2.0)], "layer int, arrival int, seq long, v double")
+    lost = windows.conceal(far, ["layer"], "seq", "arrival", "v").filter("concealed")
+    assert lost.agg(F.count("*"), F.countDistinct("seq"), F.min("seq"), F.max("seq"), F.max("v")).first()[:] == (25_000, 25_000, 2, 25_001, 1.0)
+
+
+def test_repeats_in_full(spark):
+    cells = spark.createDataFrame([(1, 1, "x", 1500, 2)], "row int, col int, value string, row_repeat int, col_repeat int")
+    assert grid.expand_repeats(cells).count() == 3000 and grid.expand_repeats(cells, most=10).count() == 20
+    body = '<table:table-row table:number-rows-repeated="2"><table:table-cell table:number-columns-repeated="1001" office:value-type="float" office:value="7"/></table:table-row>'
+    spaces = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", f'<office:document-content {spaces}><office:body><office:spreadsheet><table:table table:name="s">{body}</table:table></office:spreadsheet></office:body></office:document-content>')
+    assert len(list(office.ods_cells(out.getvalue()))) == 2002
+    rows_ = [["v"]] * 200_001
+    assert sum(1 for _ in office.xlsx_cells(office.xlsx_bytes({"s": rows_}))) == 200_001
 
 
 def test_gates_and_topics(spark):
