@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset and all run in one process (tests)."""
     sc = spark.sparkContext
     if base := sc.getConf().get("spark.checkpoint.dir"):
         return base
+    if not sc.getCheckpointDir() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
