@@ -191,13 +191,22 @@ zlib_value = binary(zlib.compress, T.BinaryType())
 unzlib_value = binary(zlib.decompress, T.BinaryType())
 
 
-def lzw_encode(data: bytes, most: int = 12) -> bytes:
-    """Variable-width codes (9 to `most` bits, high bit first); 256 clears the table, 257 ends."""
+def lzw_encode(data: bytes, most: int = 12, low_first: bool = False, early: bool = False) -> bytes:
+    """Variable-width codes of 9 to `most` bits; 256 clears the table, 257 ends.
+
+    Bits go high first (as in TIFF and PDF) or low first (GIF); with `early` widths grow one code sooner (TIFF, PDF).
+    """
     acc = bits = 0
     chunks = bytearray()
 
     def put(code: int, width: int) -> None:
         nonlocal acc, bits
+        if low_first:
+            acc, bits = acc | (code << bits), bits + width
+            while bits >= 8:
+                chunks.append(acc & 255)
+                acc, bits = acc >> 8, bits - 8
+            return
         acc, bits = (acc << width) | code, bits + width
         while bits >= 8:
             bits -= 8
@@ -216,7 +225,7 @@ def lzw_encode(data: bytes, most: int = 12) -> bytes:
         if size < 1 << most:
             table[longer] = size
             size += 1
-            if size > (1 << width) and width < most:
+            if size + early > (1 << width) and width < most:
                 width += 1
         else:
             put(256, width)
@@ -225,24 +234,27 @@ def lzw_encode(data: bytes, most: int = 12) -> bytes:
     if prefix:
         put(table[prefix], width)
         size += size < 1 << most
-        if size > (1 << width) and width < most:
+        if size + early > (1 << width) and width < most:
             width += 1
     put(257, width)
     if bits:
-        chunks.append((acc << (8 - bits)) & 255)
+        chunks.append(acc & 255 if low_first else (acc << (8 - bits)) & 255)
     return bytes(chunks)
 
 
-def lzw_decode(data: bytes, most: int = 12) -> bytes:
+def lzw_decode(data: bytes, most: int = 12, low_first: bool = False, early: bool = False) -> bytes:
     table = {k: bytes([k]) for k in range(256)}
     out, acc, bits, width, size, last = bytearray(), 0, 0, 9, 258, b""
     for byte in data:
-        acc, bits = (acc << 8) | byte, bits + 8
+        acc, bits = acc | (byte << bits) if low_first else (acc << 8) | byte, bits + 8
         if bits < width:
             continue
         bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
+        if low_first:
+            code, acc = acc & ((1 << width) - 1), acc >> width
+        else:
+            code = acc >> bits
+            acc &= (1 << bits) - 1
         if code == 257:
             return bytes(out)
         if code == 256:
@@ -259,7 +271,7 @@ def lzw_decode(data: bytes, most: int = 12) -> bytes:
             table[size] = last + entry[:1]
             size += 1
         # the writer is one entry ahead
-        if size + 1 > (1 << width) and width < most:
+        if size + 1 + early > (1 << width) and width < most:
             width += 1
         last = entry
     raise ValueError("lzw: no end code")

@@ -50,7 +50,7 @@ def key_range(df: DataFrame, key: str, low=None, high=None, include_low: bool =
     return df
 
 
-def prefix_search(df: DataFrame, key: str, prefix: str, limit: int | None = None) -> DataFrame:
+def prefix_search(df: DataFrame, key: str, prefix: str | Column, limit: int | None = None) -> DataFrame:
     """Keys that begin with a prefix, in key order."""
     found = df.filter(F.col(key).startswith(prefix)).orderBy(key)
     return found if limit is None else found.limit(limit)

@@ -295,7 +295,7 @@ def btree_range(spark, sf):
 @query("select p_name, p_partkey from part where starts_with(p_name, substr((select min(p_name) from part), 1, 1))")
 def trie_prefix(spark, sf):
     d = table(spark, sf, "part").select("p_name", "p_partkey")
-    letter = d.agg(F.substring(F.min("p_name"), 1, 1)).first()[0]
+    letter = d.agg(F.substring(F.min("p_name"), 1, 1)).scalar()
     return ordered.prefix_search(d, "p_name", letter)
 
 

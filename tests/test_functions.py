@@ -134,6 +134,12 @@ def test_geometry(spark):
 @settings(max_examples=60, deadline=None)
 def test_binary_round_trips(data):
     assert codecs.lzw_decode(codecs.lzw_encode(data)) == data
+    for low_first in (False, True):
+        for early in (False, True):
+            for some in (data, b"", b"a", bytes(range(256)) * 40):
+                assert codecs.lzw_decode(codecs.lzw_encode(some, 12, low_first, early), 12, low_first, early) == some
+    # the published example of PDF (high bits first, early)
+    assert codecs.lzw_encode(bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66]), early=True).hex() == "800b6050220c0c8501"
     assert codecs.base58_back(codecs.base58_of(data).encode()) == data
     assert codecs.base32_back(codecs.base32_of(data).encode()) == data
 

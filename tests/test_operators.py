@@ -289,6 +289,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable() if q.isActive else None
     q.awaitTermination(60)
     assert spark.table("got").count() == 6
+    reader = feeds.EventsReader({"path": str(tmp_path), "splitBytes": "50"})
+    lines = (tmp_path / "a.jsonl").read_text()
+    (tmp_path / "b.jsonl").write_text('{"data": "é"}\n\n{"data": 1}\n{"da')
+    end = reader.latestOffset()
+    assert end == {"a.jsonl": len(lines), "b.jsonl": 28}
+    ranges = reader.partitions({}, end)
+    assert len(ranges) > 3
+    got = [row for r in ranges for row in reader.read(r)]
+    assert [r[2] for r in got] == ["0", "1", "2", "3", "4", "5", '"\\u00e9"', "1"] and [r[1] for r in got[-2:]] == ["b.jsonl:0", "b.jsonl:16"]
+    with (tmp_path / "b.jsonl").open("a") as f:
+        f.write('ta": 2}\n')
+    assert [row for r in reader.partitions(end, reader.latestOffset()) for row in reader.read(r)] == [("", "b.jsonl:28", "2")]
     src = tmp_path / "src"
     events(spark, [0, 10, 25, 200, 210]).withColumn("big", F.col("seq") * 2).repartition(1).write.parquet(str(src))
     stream = spark.readStream.schema("u int, seq long, ts timestamp, big long").parquet(str(src))
