@@ -16,7 +16,9 @@ over without inflating or decoding its payload. Options: `payload` (false: colum
 Defined cases: a null payload is empty. Records whose payload is smaller than `least_bytes` are all
 responses. Repeated ids with equal payload: each row that has the smallest id is a response. A null
 id can be no one's referent: such a row is a response unless its payload has a smaller, real id.
-Without rows an empty archive (manifest only) is written and read as no rows.
+Without rows an empty archive (manifest only) is written and read as no rows. Blanks and control
+characters of a URI are written percent-encoded (and compared so by filters); a null URI has no header
+and is read back as null.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -60,11 +63,16 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(record_id: str, record_type: str, uri: str, date: str, digest: str, refers_to: str | None, payload: bytes) -> bytes:
+def header_uri(uri: str) -> str:
+    """The URI with blanks and control characters percent-encoded, so that it can't end its header line."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: quote(m[0]), uri)
+
+
+def record_bytes(record_id: str, record_type: str, uri: str | None, date: str, digest: str, refers_to: str | None, payload: bytes) -> bytes:
     """One record. A revisit keeps the HTTP head and states the length of the payload that it leaves out."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if record_type == "revisit" else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", *([] if uri is None else [f"WARC-Target-URI: {header_uri(uri)}"]), f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if record_type == "revisit":
         lines += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -201,7 +209,8 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, head: dict[str, str]) -> bool:
         for name, kind, values in self.tests:
-            value = bare(head.get(HEADER[name]))
+            value = head.get(HEADER[name])
+            value = value if name == "target_uri" else bare(value)
             if value is None or not (value in values if kind == "in" else value.startswith(values)):
                 return False
         return True
@@ -286,7 +295,7 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                     files.append(f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
                     out = fs.open_output_stream(f"{at}/{files[-1]}", compression=None)
-                data = record_bytes(r["record_id"] or "", r["record_type"], r["target_uri"] or "", r["date"], r["payload_digest"], r["refers_to"], r["payload"] or b"")
+                data = record_bytes(r["record_id"] or "", r["record_type"], r["target_uri"], r["date"], r["payload_digest"], r["refers_to"], r["payload"] or b"")
                 out.write(member(data) if self.gzip else data)
         if out is not None:
             out.close()

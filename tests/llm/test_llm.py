@@ -186,6 +186,18 @@ def test_warc(spark, tmp_path):
     assert spark.read.format("warc").load(str(tmp_path / "none_at_all")).count() == 0
 
 
+def test_warc_uris_stay_in_their_line(spark, tmp_path):
+    warc.register(spark)
+    uris = ["http://a/x y", "http://a/\r\nWARC-Type: metadata\r\n\r\nbody", None, "", "<http://a>", " http://a/\u2028\x00"]
+    pages = spark.createDataFrame([(k, u, f"text {k}") for k, u in enumerate(uris)], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.plan_records(pages).write.format("warc").mode("append").save(folder)
+    back = spark.read.format("warc").option("verify", "true").load(folder)
+    expected = ["http://a/x%20y", "http://a/%0D%0AWARC-Type:%20metadata%0D%0A%0D%0Abody", None, "", "<http://a>", "%20http://a/%E2%80%A8%00"]
+    assert {r.record_id: (r.target_uri, r.record_type, bytes(r.payload)) for r in back.collect()} == {f"urn:page:{k}": (u, "response", f"text {k}".encode()) for k, u in enumerate(expected)}
+    assert [r.record_id for r in back.filter(F.col("target_uri") == "<http://a>").collect()] == ["urn:page:4"]
+
+
 def test_warc_steps_over_unwanted_payloads(tmp_path):
     from pyarrow import fs
 
