@@ -196,85 +196,87 @@ def lzw_encode(data: bytes, most: int = 12, low_first: bool = False, early: bool
 
     Bits go high first (as in TIFF and PDF) or low first (GIF); with `early` widths grow one code sooner (TIFF, PDF).
     """
-    acc = bits = 0
-    chunks = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        if low_first:
-            acc, bits = acc | (code << bits), bits + width
-            while bits >= 8:
-                chunks.append(acc & 255)
-                acc, bits = acc >> 8, bits - 8
-            return
-        acc, bits = (acc << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            chunks.append((acc >> bits) & 255)
-            acc &= (1 << bits) - 1
-
-    table, width, prefix = {bytes([k]): k for k in range(256)}, 9, b""
-    size = 258
-    put(256, width)
-    for k in range(len(data)):
-        longer = prefix + data[k : k + 1]
-        if longer in table:
+    full, chunks = 1 << most, bytearray()
+    # written bits not yet in chunks: the clear code, at first
+    acc, bits, width, size = 256, 9, 9, 258
+    table: dict[int, int] = {}
+    prefix = -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        key = prefix << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
             prefix = longer
             continue
-        put(table[prefix], width)
-        if size < 1 << most:
-            table[longer] = size
+        acc, bits = (acc | prefix << bits if low_first else acc << width | prefix), bits + width
+        if size < full:
+            table[key] = size
             size += 1
-            if size + early > (1 << width) and width < most:
+            if size + early > 1 << width and width < most:
                 width += 1
         else:
-            put(256, width)
-            table, width, size = {bytes([j]): j for j in range(256)}, 9, 258
-        prefix = data[k : k + 1]
-    if prefix:
-        put(table[prefix], width)
-        size += size < 1 << most
-        if size + early > (1 << width) and width < most:
+            acc, bits = (acc | 256 << bits if low_first else acc << width | 256), bits + width
+            table, width, size = {}, 9, 258
+        prefix = byte
+        if bits >= 256:
+            if low_first:
+                chunks += (acc & ((1 << 256) - 1)).to_bytes(32, "little")
+                acc, bits = acc >> 256, bits - 256
+            else:
+                bits -= 256
+                chunks += (acc >> bits).to_bytes(32, "big")
+                acc &= (1 << bits) - 1
+    if prefix >= 0:
+        acc, bits = (acc | prefix << bits if low_first else acc << width | prefix), bits + width
+        size += size < full
+        if size + early > 1 << width and width < most:
             width += 1
-    put(257, width)
-    if bits:
-        chunks.append(acc & 255 if low_first else (acc << (8 - bits)) & 255)
-    return bytes(chunks)
+    acc, bits = (acc | 257 << bits if low_first else acc << width | 257), bits + width
+    n = (bits + 7) // 8
+    return bytes(chunks) + (acc.to_bytes(n, "little") if low_first else (acc << (8 * n - bits)).to_bytes(n, "big"))
 
 
 def lzw_decode(data: bytes, most: int = 12, low_first: bool = False, early: bool = False) -> bytes:
-    table = {k: bytes([k]) for k in range(256)}
-    out, acc, bits, width, size, last = bytearray(), 0, 0, 9, 258, b""
-    for byte in data:
-        acc, bits = acc | (byte << bits) if low_first else (acc << 8) | byte, bits + 8
+    single = [bytes([k]) for k in range(256)] + [b"", b""]
+    full, table, out = 1 << most, single.copy(), []
+    acc = bits = at = 0
+    width, last = 9, b""
+    while True:
         if bits < width:
-            continue
+            some = data[at : at + 32]
+            at += 32
+            acc = acc | int.from_bytes(some, "little") << bits if low_first else acc << 8 * len(some) | int.from_bytes(some, "big")
+            bits += 8 * len(some)
+            if bits < width:
+                raise ValueError("lzw: no end code")
         bits -= width
         if low_first:
             code, acc = acc & ((1 << width) - 1), acc >> width
         else:
             code = acc >> bits
             acc &= (1 << bits) - 1
+        size = len(table)
         if code == 257:
-            return bytes(out)
+            return b"".join(out)
         if code == 256:
-            table, width, size, last = {k: bytes([k]) for k in range(256)}, 9, 258, b""
+            table, width, last = single.copy(), 9, b""
             continue
-        if code in table:
+        if code < size:
             entry = table[code]
         elif code == size and last:
             entry = last + last[:1]
         else:
             raise ValueError("lzw: broken code")
-        out += entry
-        if last and size < 1 << most:
-            table[size] = last + entry[:1]
+        out.append(entry)
+        if last and size < full:
+            table.append(last + entry[:1])
             size += 1
         # the writer is one entry ahead
-        if size + 1 + early > (1 << width) and width < most:
+        if size + 1 + early > 1 << width and width < most:
             width += 1
         last = entry
-    raise ValueError("lzw: no end code")
 
 
 lzw_value = binary(lzw_encode, T.BinaryType())
