@@ -76,7 +76,7 @@ class Model:
         self.edges, self.weights, self.prior = edges, weights, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(one_hot(x, self.edges) @ self.weights, -30, 30)))
+        return sigmoid(one_hot(x, self.edges) @ self.weights)
 
 
 def one_hot(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -103,6 +103,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def times(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """a @ v in the precision of a, so that a large a isn't converted in each step."""
+    return a @ v.astype(a.dtype)
+
+
 def best_bin(p: np.ndarray, u: np.ndarray, sure: float = 0.1) -> float:
     """The class prior of the unlabelled rows, from the scores of positives and unlabelled rows."""
     at = np.sort(np.concatenate([p, u]))
@@ -118,16 +123,17 @@ def nn_gradient(p: np.ndarray, u: np.ndarray, prior: float):
     """The gradient of the non-negative risk with logistic loss."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        positive = p.T @ ((sp - 1) / len(p)) * prior
-        rest = np.logaddexp(0, np.clip(u @ w, -30, 30)).mean() - prior * np.logaddexp(0, np.clip(p @ w, -30, 30)).mean()
-        negative = u.T @ (su / len(u)) - prior * (p.T @ (sp / len(p)))
+        zp, zu = times(p, w), times(u, w)
+        sp, su = sigmoid(zp), sigmoid(zu)
+        positive = times(p.T, (sp - 1) / len(p)) * prior
+        rest = np.logaddexp(0, np.clip(zu, -30, 30)).mean() - prior * np.logaddexp(0, np.clip(zp, -30, 30)).mean()
+        negative = times(u.T, su / len(u)) - prior * times(p.T, sp / len(p))
         return positive + negative if rest >= 0 else -negative
 
     return gradient
 
 
-def fit_arrays(p: np.ndarray, u: np.ndarray, bins: int = 16, steps: int = 600, decay: float = 1e-4) -> Model:
+def fit_arrays(p: np.ndarray, u: np.ndarray, bins: int = 16, steps: int = 3000, decay: float = 1e-4) -> Model:
     """p, u: feature rows of positives and of unlabelled rows."""
     if not len(p) or not len(u):
         return Model([np.zeros(0)] * len(FEATURES), np.zeros(len(FEATURES) + 1), 0.5)
@@ -136,7 +142,7 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, bins: int = 16, steps: int = 600, d
     hp, hu = one_hot(p, edges), one_hot(u, edges)
 
     def apart(a: np.ndarray, b: np.ndarray):
-        return lambda w: 0.5 * (a.T @ ((sigmoid(a @ w) - 1) / len(a)) + b.T @ (sigmoid(b @ w) / len(b)))
+        return lambda w: 0.5 * (times(a.T, (sigmoid(times(a, w)) - 1) / len(a)) + times(b.T, sigmoid(times(b, w)) / len(b)))
 
     # the prior from rows that the first classifier hasn't seen: each half is scored by the other's
     own_p, own_u = np.zeros(len(hp)), np.zeros(len(hu))

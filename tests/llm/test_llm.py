@@ -156,6 +156,16 @@ def test_quality(spark, empty):
     assert [x.score for x in quality.predict(d.limit(1), quality.fit(empty, lab, fold(5) != 0)).collect()] == [0.5]
 
 
+def test_quality_on_held_out_documents(spark):
+    larger = "/root/testdata/sf0.1"
+    d, lab = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    scored = quality.predict(d, quality.fit(d, lab, fold(5) != 0)).filter(fold(5) == 0)
+    got = scored.join(lab, "doc_id").select("score", "quality").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert len(good) > 500 and len(bad) > 50
+    assert (good[:, None] > bad).mean() > 0.98 and np.mean((got.score >= 0.3) == (got.quality == 1)) > 0.95
+
+
 def test_best_bin():
     r = np.random.default_rng(1)
     p, u = r.normal(2, 1, 5000), np.concatenate([r.normal(2, 1, 7000), r.normal(-2, 1, 3000)])
