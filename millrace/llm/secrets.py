@@ -1,11 +1,11 @@
 """Operator 9, secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are credential formats, values assigned to a telling name, and long runs of mixed letters
-and digits. A random forest (bootstrap samples, a random part of the features at each split, Gini
+Candidates are credential formats, values assigned to a telling name, passwords in URLs, and long runs
+of mixed letters and digits. A random forest (bootstrap samples, a random part of the features at each split, Gini
 impurity) judges each by its length, character classes and transitions, entropy, dictionary coverage,
 the path it was found under and the words beside it. It is trained from labelled findings: a table
 given by the user, or `labelled_findings`, which writes findings of both kinds by rule (keys, tokens
-and passwords; commit and checksum digests, UUIDs, placeholders, identifiers, paths, numbers).
+and passwords; commit and checksum digests, data URIs, UUIDs, placeholders, identifiers, paths, numbers).
 
 Everything is done within a row; nothing is shuffled. The forest and the dictionary, both bounded,
 travel with the tasks.
@@ -32,18 +32,19 @@ DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 MASK = "[SECRET]"
 ACCEPT = 0.5
 
-NAMED = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|credentials?"
+NAMED = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|account[_-]?key|(?:auth|access|refresh|session)[_-]?token|auth(?:orization)?|credentials?"
 RULES = (
     ("key_id", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("prefixed", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})")),
     # up to its end mark; cut off: header lines and lines of base64 only
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Z][A-Za-z-]+: [^\n]*)*(?:\s+[A-Za-z0-9+/]{16,}={0,2}(?![^\s]))*)")),
-    ("assigned", re.compile(rf"(?i)(?<![a-z])(?:{NAMED})[\"']?\s{{0,2}}(?:=|:|=>)\s{{0,2}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}})")),
+    ("assigned", re.compile(rf"(?i)(?<![a-z])(?:{NAMED})[\"']?(?:\s{{1,2}}is)?\s{{0,2}}(?:=|:|=>)\s{{0,2}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}})")),
     ("mixed", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}")),
-    ("phrase", re.compile(rf"(?i)(?<![a-z])(?:{NAMED})[\"']?\s{{0,2}}(?:=|:|=>)\s{{0,2}}(?P<quote>[\"'])(?P<value>(?=[^\"'\n]*\s)[^\"'\n]{{6,}})(?P=quote)")),
+    ("phrase", re.compile(rf"(?i)(?<![a-z])(?:{NAMED})[\"']?(?:\s{{1,2}}is)?\s{{0,2}}(?:=|:|=>)\s{{0,2}}(?P<quote>[\"'])(?P<value>(?=[^\"'\n]*\s)[^\"'\n]{{6,}})(?P=quote)")),
+    ("url", re.compile(r"://[^\s:/@]*:(?P<value>[^\s:/@]{3,})@")),
 )
 TELLING = re.compile(rf"(?i)(?:{NAMED}|key|login|bearer)")
-DIGEST = re.compile(r"(?i)(?:sha\d*|md5|commit|checksum|digest|etag|integrity|uuid|guid|hash|revision|version|serial|order|invoice|isbn|id)\b")
+DIGEST = re.compile(r"(?i)(?:sha\d*|md5|commit|checksum|digest|etag|integrity|uuid|guid|hash|revision|version|serial|order|invoice|isbn|id|base64|class|href|src)\b")
 PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|your|placeholder|dummy|sample|xxx|\*\*\*|\.\.\.|<|\$\{|todo|none|null|test|foo|123456|abcdef")
 TAME_PATH = re.compile(r"(?i)test|example|sample|docs?/|\.md$|\.lock$|fixture|mock")
 CONFIG_PATH = re.compile(r"(?i)\.env|\.ya?ml$|\.ini$|\.cfg$|\.conf|\.properties$|settings|config|secret")
@@ -193,15 +194,19 @@ def labelled_findings(words: frozenset[str], n: int = 3000, seed: int = 9) -> li
     hexa, b64 = "0123456789abcdef", low + up + num + "+/"
     word = lambda: r.choice(plain)
     say = lambda k: " ".join(word() for _ in range(k))
-    name = lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "access_key", "auth", "client_secret", "pwd"])
+    name = lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "access_key", "auth", "client_secret", "pwd", "accessToken", "account_key"])
     op = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", "='"])
 
     def close(o: str) -> str:
         return o[-1] if o[-1] in "\"'" else ""
 
     def secret() -> str:
-        form = r.randrange(10)
+        form = r.randrange(12)
         o = op()
+        if form == 10:
+            return r.choice(["postgres", "mysql", "https", "amqp"]) + "://" + word() + ":" + pick(low + up + num + "!$%-_", r.randrange(7, 20)) + "@" + word() + "." + r.choice(["com", "internal", "net:5432/main"])
+        if form == 11:
+            return r.choice(["bearer ", "key ", "secret ", "token ", "password "]) + r.choice(["", "is: "]) + r.choice([pick(hexa, r.choice([24, 32, 40])), word().title() + pick(num, 2) + pick("!#%&", 1) + pick(low + up + num, 16)])
         if form == 0:
             return "AKIA" + pick(up + "234567" + num, 16)
         if form == 1:
@@ -221,8 +226,21 @@ def labelled_findings(words: frozenset[str], n: int = 3000, seed: int = 9) -> li
         return name() + o + r.choice([word() + pick(num, 3) + pick("!#%&", 1) + pick(up, 2), word().title() + pick("!#%&", 1) + pick(num + up, 5)]) + close(o)
 
     def harmless() -> str:
-        form = r.randrange(10)
+        form = r.randrange(16)
         o = op()
+        if form == 10:
+            return r.choice(["integrity: \"sha512-", "integrity=\"sha256-", "sha1 ", "Content-MD5: ", "checksum=\"", "md5: "]) + pick(b64, r.choice([22, 27, 43, 86])) + "=="
+        if form == 11:
+            return r.choice(["src=\"data:image/png;base64,", "url(data:font/woff;base64,", "href=\"data:image/gif;base64,"]) + pick(b64, r.randrange(30, 90))
+        if form == 12:
+            return ".".join(word() for _ in range(3)) + "." + "".join(word().title() for _ in range(4)) + pick(num, r.randrange(1, 3)) + word().title()
+        if form == 13:
+            return r.choice(["class=\"", "src=\"", "href=\""]) + word() + "-" + pick(low + num, r.randrange(6, 20)) + "-" + word() + "-" + word() + "\""
+        if form == 14:
+            return name() + o + "/" + "/".join(word() for _ in range(r.randrange(2, 5))) + "." + r.choice(["pem", "txt", "key"]) + close(o)
+        if form == 15:
+            letters = r.choice(["ACGT", "01", up[:6]])
+            return pick(letters, r.randrange(22, 60)) + pick(num + up[:1], 2) + pick(letters, 3) + "7A"
         if form == 0:
             return r.choice(["commit ", "sha1 ", "md5 ", "checksum: ", "etag ", "integrity sha256 ", "digest: ", "revision "]) + pick(hexa, r.choice([32, 40, 64]))
         if form == 1:
