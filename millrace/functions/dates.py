@@ -172,18 +172,50 @@ def cron_match_day(d: Column, expression: str, sets: dict[str, set[int]]) -> Col
 # Number formats
 
 
-def format_code(n: Column | str, code: str) -> Column:
-    """Spreadsheet number formats: sections by sign, grouping, decimals, percent, scientific, literals; date codes on serials."""
+def format_code(n: Column | str, code: str, ties: str = "up") -> Column:
+    """Spreadsheet number formats: sections by sign, grouping, decimals, percent, scientific, literals; date codes on serials.
+
+    ties: "up" rounds decimals as spreadsheets do, half up after scaling; "even" rounds the exact value of the double,
+    exact ties to the even digit, and keeps the sign of -0.0, as printf does.
+    """
+    if ties not in ("up", "even"):
+        raise ValueError("ties: up or even")
     c = col(n).cast("double")
     sections = re.split(r";(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", code)
     positive = sections[0]
     negative = sections[1] if len(sections) > 1 else None
     zero = sections[2] if len(sections) > 2 else None
-    out = F.when(c >= 0, section(c, positive)).otherwise(section(-c, negative) if negative is not None else F.concat(F.lit("-"), section(-c, positive)))
-    return F.when(c == 0, section(c, zero)).otherwise(out) if zero is not None else out
+    shown = lambda x, part: section(x, part, ties)
+    minus = F.concat(F.lit("-"), shown(F.abs(c), positive))
+    out = F.when(c >= 0, shown(c, positive)).otherwise(shown(-c, negative) if negative is not None else minus)
+    if ties == "even" and negative is None and zero is None:
+        out = F.when(c.cast("string") == "-0.0", minus).otherwise(out)
+    return F.when(c == 0, shown(c, zero)).otherwise(out) if zero is not None else out
 
 
-def section(c: Column, code: str) -> Column:
+def half_up(c: Column, places: int) -> Column:
+    """The double c >= 0 with so many decimals, half up. From 2 ** 53 on doubles are whole; floor would stop at 2 ** 63."""
+    up = c * 10**places + 0.5
+    return F.when(up < 2.0**53, F.floor(up).cast("double")).otherwise(up) / 10**places
+
+
+def exact_digits(c: Column, places: int) -> Column:
+    """The exact value of the double c >= 0, grouped, exact ties to the even digit.
+
+    format_number does so while neighbouring doubles are closer than the last decimal; beyond that it fills up with
+    zeros behind the 17th digit, and still does above 2 ** 116 (35 digits).
+    """
+    step, top = 2.0**53, 2.0**63
+    high = F.floor(c / step)
+    whole = F.when(c < top, F.floor(c).cast("decimal(38,0)")).otherwise(high.cast("decimal(20,0)") * F.lit(2**53).cast("decimal(16,0)") + (c - high.cast("double") * step).cast("long").cast("decimal(19,0)")).cast("decimal(38,0)")
+    part = F.when(c < step, c - F.floor(c)).otherwise(F.lit(0.0))
+    digits = F.format_number(part, places)
+    carry = digits.startswith("1") | ((part == 0.5) & (F.floor(c) % 2 != 0) if places == 0 else F.lit(False))
+    text = F.concat(F.format_number(F.when(carry, whole + 1).otherwise(whole).cast("decimal(38,0)"), 0), F.substring(digits, 2, places + 1) if places else F.lit(""))
+    return F.when((c >= 2.0**52 / 10**places) & (c < 2.0**116), text).otherwise(F.format_number(c, places))
+
+
+def section(c: Column, code: str, ties: str = "up") -> Column:
     if code.strip().lower() == "general":
         return F.when(c == F.floor(c), F.format_string("%.0f", c)).otherwise(c.cast("string"))
     bare = re.sub(r"\"[^\"]*\"|\\.|\[[^\]]*\]", "", code)
@@ -199,14 +231,14 @@ def section(c: Column, code: str) -> Column:
     # each percent sign multiplies by 100, each comma after the last whole digit divides by 1000
     commas = len(re.search(r",*(?=$|E)", whole)[0])
     whole = re.sub(r",+(?=$|E)", "", whole)
-    scale = 100.0 ** bare.count("%") / 1000.0**commas
-    value = c if scale == 1 else c * scale
+    value = c * 100.0 ** bare.count("%") if "%" in bare else c
+    value = value / 1000.0**commas if commas else value
     if "E" in body:
         text = F.regexp_replace(F.format_string(f"%.{places}E", value), r"E([+-])0*(\d)", "E$1$2")
         digits = len(re.search(r"E[+-](0+)", body)[1])
         text = F.concat(F.regexp_extract(text, r"^(.*E[+-])", 1), F.lpad(F.regexp_extract(text, r"E[+-](\d+)$", 1), digits, "0"))
     else:
-        text = F.format_number(F.floor(value * 10**places + 0.5) / 10**places, places)
+        text = exact_digits(half_up(value, places) if ties == "up" else value, places)
         text = text if "," in whole else F.replace(text, F.lit(","), F.lit(""))
         least = len(re.sub("[^0]", "", whole))
         if least > 1:

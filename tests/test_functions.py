@@ -105,6 +105,24 @@ def test_number_formats(spark, n, code, shown):
     assert one(spark, dates.format_code("n", code), n=n) == shown
 
 
+@pytest.mark.parametrize(("n", "code", "shown"), [(1e17, "0", "100000000000000000"), (2.0**63 + 2.0**13, "#,##0.0", "9,223,372,036,854,784,000.0"), (4503599627370497.5, "0.0%", "450359962737049792.0%"), (0.125, "0.00", "0.13")])
+def test_long_numbers(spark, n, code, shown):
+    assert one(spark, dates.format_code("n", code), n=n) == shown
+
+
+def test_number_formats_by_exact_value(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans.queries import ORACLE_SQL, QUERIES
+
+    values = [0.0, -0.0, 0.125, 0.375, 2.675, 0.045, 99999.995, 500.0, 1500.0, 0.0005, 1e15 + 0.25, 123456789012345.67, 4503599627370497.0, 6492104648617095.0, 1e17, 2.0**63, 1e19, 9e21, 5e-324, -3.0, None]
+    spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = {r[0]: tuple(map(str, r[2:])) for r in duck.execute(ORACLE_SQL["number_formats"]).fetchall()}
+    assert {r[0]: tuple(r[2:]) for r in QUERIES["number_formats"](spark, str(tmp_path)).collect()} == want and len(want) == 19
+
+
 def test_numbers(spark):
     assert int(one(spark, numeric.mod_pow(F.lit(3), F.lit(200), F.lit(13)))) == pow(3, 200, 13)
     assert int(one(spark, numeric.mod_inv(F.lit(3), F.lit(11)))) == 4
