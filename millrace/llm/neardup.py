@@ -40,10 +40,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, new_folder, released, text_batches, words_of
+from millrace.llm import common
+from millrace.llm.common import new_folder, released, text_batches, words_of
 
 MISSED, EST, REGISTERS = 3e-6, 128, 320
 BLOCK, CENTRES, NEAR_BLOCK = 256, 16, 512
@@ -53,6 +54,17 @@ FLIP = _chance.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) +
 TIMES = _chance.integers(0, 1 << 62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """common.cut, after which the shuffle files of its own run go at once; otherwise all steps' files stay until the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return common.cut(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
 def banding(percent: int) -> tuple[int, int]:
     """(bands, rows): the longest bands that REGISTERS allows for a chance below MISSED that sets at the threshold share none."""
     if not 10 <= percent <= 100:
@@ -290,20 +302,29 @@ def in_blocks(rows: DataFrame, key: str, size: Column, block: int, columns: list
     return rows.withColumn("_many", many).withColumn("_own", own).select(key, *columns, F.explode(there).alias("_at")).select(F.xxhash64(key, "_at.m", "_at.p").alias("group"), *columns, "_at.member", "_at.probe")
 
 
+def with_smallest(edges: DataFrame) -> DataFrame:
+    """(u, v, m): the different edges, with the smallest v of each u; one shuffle for all three steps."""
+    e = edges.repartition("u").distinct()
+    # merge: both sides lie in the same partitions already, a broadcast would be one more run over them
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reached, for the nodes of the edges (u, v)."""
-    e = cut(edges.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
-    last = None
+    """(node, component): the smallest node reached, for the nodes of the edges (u, v).
+
+    No step makes more edges than it gets; equal ones are dropped where the next step has them side by side.
+    """
+    # stored first: which links join two parts may differ if they are computed again
+    e, last = cut(edges.filter("u <> v").select("u", "v")), None
     for _ in range(rounds):
         # large-star: larger neighbours go to the smallest one
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
+        e = with_smallest(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # small-star: smaller neighbours, and the node, go to the smallest one
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = cut(e)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        e = with_smallest(e).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        seen = Observation()
+        e = cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        now = tuple(seen.get.values())
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last = now
