@@ -43,7 +43,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, new_folder, released, text_batches, words_of
+from millrace.llm import common
+from millrace.llm.common import new_folder, released, text_batches, words_of
 
 MISSED, EST, REGISTERS = 3e-6, 128, 320
 BLOCK, CENTRES, NEAR_BLOCK = 256, 16, 512
@@ -53,6 +54,18 @@ FLIP = _chance.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) +
 TIMES = _chance.integers(0, 1 << 62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """common.cut, after which the shuffle files of its own run go at once; otherwise those of all steps stay until the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        # a run of its own, whose shuffles no other one reads
+        return common.cut(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
 def banding(percent: int) -> tuple[int, int]:
     """(bands, rows): the longest bands that REGISTERS allows for a chance below MISSED that sets at the threshold share none."""
     if not 10 <= percent <= 100:
@@ -235,19 +248,19 @@ def merged(parts: np.ndarray, of: int, met: np.ndarray) -> np.ndarray:
 def candidates(rows: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """(id, family) of the sets that may be linked with another. firsts: (digest, id, row) of each different set."""
     least = percent / 100 - margin(percent)
-    bands = rows.select("row", "bands").join(firsts.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("bucket"))
+    bands = rows.select("row", "id", "bands").join(firsts.select("row"), "row", "left_semi").select("row", "id", F.explode("bands").alias("bucket"))
     busy = bands.groupBy("bucket").count().filter("count > 1").select("bucket")
-    live = cut(bands.join(busy, "bucket").join(firsts.select("row", "id"), "row").select("bucket", "row", "id"))
+    live = cut(bands.join(busy, "bucket").select("bucket", "row", "id"))
     ends = live.groupBy("bucket").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
     star = live.join(ends, "bucket").select("row", F.explode(F.array("lo", "hi")).alias("centre")).filter("row <> centre")
     pairs = cut(star.select(F.least("row", "centre").alias("r"), F.greatest("row", "centre").alias("s")).distinct())
     est = rows.select("row", "id", "n", "est")
     one = pairs.join(est.select(F.col("row").alias("r"), F.col("id").alias("u"), "n", F.col("est").alias("a")), "r")
     both = one.join(est.select(F.col("row").alias("s"), F.col("id").alias("v"), F.col("n").alias("m"), F.col("est").alias("b")), "s").filter("u <> v")
-    near = cut(both.select("u", "v", "n", "m", "a", "b").mapInPandas(released(lambda batches: estimates(batches, least)), "u long, v long").distinct())
+    near = both.select("u", "v", "n", "m", "a", "b").mapInPandas(released(lambda batches: estimates(batches, least)), "u long, v long")
 
     # buckets of three sets or more in which families are still apart
-    family = components(near)
+    family = stars(near)
     large = live.join(ends.filter("size > 2").select("bucket", "size"), "bucket")
     member = large.join(family, F.col("id") == F.col("node"), "left").select("bucket", "size", "row", "id", F.coalesce("component", "id").alias("family"))
     member = cut(member)
@@ -269,7 +282,7 @@ def candidates(rows: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
                 out += [(int(ids[c]), int(ids[k])) for k in merged(parts, c, at)]
             yield pd.DataFrame(out, columns=["u", "v"])
 
-    found = components(near.union(by_group(more).mapInPandas(released(compare), "u long, v long")))
+    found = components(family.union(by_group(more).mapInPandas(released(compare), "u long, v long")))
     return found.select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
@@ -290,26 +303,40 @@ def in_blocks(rows: DataFrame, key: str, size: Column, block: int, columns: list
     return rows.withColumn("_many", many).withColumn("_own", own).select(key, *columns, F.explode(there).alias("_at")).select(F.xxhash64(key, "_at.m", "_at.p").alias("group"), *columns, "_at.member", "_at.probe")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reached, for the nodes of the edges (u, v)."""
-    e = cut(edges.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
-    last = None
+def with_smallest(edges: DataFrame) -> DataFrame:
+    """(u, v, m): the different edges, with the smallest v of each u; one shuffle for all three steps."""
+    e = edges.repartition("u").distinct()
+    # merge: both sides lie in the same partitions already, a broadcast would be one more run over them
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+
+
+def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, component): the smallest node reached, for the nodes of the edges (two columns, by position) that reach a smaller one.
+
+    No step makes more edges than it gets; equal ones are dropped where the next step has them side by side.
+    """
+    edges = edges.toDF("u", "v")
+    # stored first: which links join two parts may differ if they are computed again
+    e, last = cut(edges.filter("u <> v")), None
     for _ in range(rounds):
         # large-star: larger neighbours go to the smallest one
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
+        e = with_smallest(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # small-star: smaller neighbours, and the node, go to the smallest one
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = cut(e)
+        e = cut(with_smallest(e).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return e.toDF("node", "component")
         last = now
     raise RuntimeError(f"components are not stable after {rounds} rounds")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reached, for all nodes of the edges."""
+    found = stars(edges)
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+
+
 def full_sets(docs: DataFrame, members: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """members (id, row, digest, ...) with items: the sorted shingle hashes of the text of that digest; stored in the shared folder."""
     more = [f for f in members.schema.fields if f.name not in ("id", "digest")]
@@ -365,7 +392,7 @@ def confirmed(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, firsts: DataFrame, families: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(u, v): links that connect all documents of the families (id, family) that links connect. firsts: (digest, id, row)."""
+    """(u, v): edges that connect all documents of the families (id, family) that links connect, as links do. firsts: (digest, id, row)."""
     own = cut(firsts.join(families, "id"))
     known = own.join(own.groupBy("family").agg(F.count("*").alias("size")), "family")
     # the smallest hashes of a family, without gathering it: its range of hashes is cut by its size
@@ -381,10 +408,9 @@ def verified(docs: DataFrame, firsts: DataFrame, families: DataFrame, key: str,
     blocks = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("_many") - 1)).otherwise(F.array("_own"))
     rows = sets.withColumn("_many", many).withColumn("_own", block).select("*", F.explode(blocks).alias("_b"))
     rows = rows.select(F.xxhash64("family", "_b").alias("group"), "id", (F.col("_b") == F.col("_own")).alias("member"), F.col("outside").alias("probe"), "items")
-    first = cut(confirmed(rows, percent))
+    parts = stars(confirmed(rows, percent))
 
     # in families of more than CENTRES sets: what lies outside the largest part meets all
-    parts = components(first)
     large = members.filter(F.col("size") > CENTRES).select("family", "row", "id", F.col("outside").alias("met"))
     big = cut(large.join(parts, F.col("id") == F.col("node"), "left").select("family", "row", "met", F.coalesce("component", "id").alias("part")))
     counts = big.groupBy("family", "part").agg(F.count("*").alias("n"))
@@ -393,7 +419,7 @@ def verified(docs: DataFrame, firsts: DataFrame, families: DataFrame, key: str,
     left = big.join(main, "family").select("row", ((F.col("part") != F.col("main")) & ~F.col("met")).alias("outside"))
     torn = sets.filter(F.col("size") > CENTRES).drop("outside").join(left, "row")
     second = confirmed(in_blocks(torn, "family", F.col("size"), BLOCK, ["id", "items"]), percent)
-    return first.union(second)
+    return parts.union(second)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -409,7 +435,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     one = pairs.join(several, "id").join(firsts.select("digest", F.col("id").alias("first")), "digest").select("id", "first")
     same = one.join(one.groupBy("id").agg(F.min("first").alias("v")), "id").select(F.col("first").alias("u"), "v")
 
-    found = components(links.union(same))
+    found = stars(links.union(same))
     named = firsts.join(found, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     linked = real.select("id", "n", "digest").join(named, "digest").select("id", "n", "component_id")
     alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))

@@ -6,11 +6,15 @@ import math
 import random
 import re
 import struct
+import time
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -494,6 +498,42 @@ def test_hyperminhash_estimates():
     assert neardup.compressed(np.array([1 << 63, 1, 3 << 61], dtype=np.uint64)).tolist() == [0, 63 << 10, (1 << 10) | 512]
 
 
+def test_components_of_edges_that_differ_when_computed_again(spark):
+    def stars(batches):
+        centre = uuid.uuid4().int % 200
+        for b in batches:
+            yield pd.DataFrame({"u": centre, "v": b["id"]})
+
+    got = neardup.components(spark.range(0, 200, 1, 1).mapInPandas(stars, "u long, v long")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(k, 0) for k in range(200)]
+
+
+def test_components_take_few_shuffles(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100, 140)], "u long, v long")
+    number = spark.sparkContext._jsc.sc().newShuffleId
+    first, stored = number(), []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(neardup, "cut", lambda df, cut=neardup.cut: stored.append(1) or cut(df))
+        found = neardup.components(edges)
+    # of each round, which stores its edges once: one for each star, planned twice at most, and one for the sums
+    assert number() - first - 1 <= 4 * (len(stored) - 1)
+    assert {r.node: r.component for r in found.collect()} == dict.fromkeys(range(100, 141), 100)
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p.name for d in dirs for p in Path(d).glob("*/shuffle_*.data")}
+    before = files()
+    d = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    stored = neardup.cut(d)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, d.collect()))
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(140)] + [(k, k + 1) for k in range(300, 360)]
