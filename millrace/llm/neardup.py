@@ -304,7 +304,7 @@ def in_blocks(rows: DataFrame, key: str, size: Column, block: int, columns: list
 
 
 def with_smallest(edges: DataFrame) -> DataFrame:
-    """(u, v, m): the different edges, with the smallest v of each u; one shuffle for all three steps."""
+    """(u, v, m): the different edges, with the smallest v of each u; one deal by u serves all three steps where Spark reuses the exchange."""
     e = edges.repartition("u").distinct()
     # merge: both sides lie in the same partitions already, a broadcast would be one more run over them
     return e.join(e.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
