@@ -21,7 +21,9 @@ can escape from. Shorter contexts, of which the alphabet bounds the number, go e
 
 The text is scored as its lower-cased (A-Z) words, joined by a space and ended by a newline.
 
-The word unigram of the contract (`base_score`) comes from exact counts over all training texts.
+The word unigram (`base_score`) comes from exact counts over all training texts: c + 1 over a number that
+is `base_over` if given, else (N + 1) * (V + 1). The contract's is `Model.add_one`, N + V + 1: with it the V
+words and one that was never seen add up to 1.
 Words that make up at least one of HOT tokens (so HOT at most) travel with the model; the rest are
 looked up by a join that holds no frequent key.
 
@@ -179,6 +181,10 @@ class Model:
         self.order, self.short, self.level, self.cached, self.codes, self.logs = order, short, level, cached, codes, logs
         self.hot, self.counts, self.tokens, self.distinct = hot, counts, tokens, distinct
 
+    def add_one(self) -> int:
+        """N + 1 * (V + 1), what c + 1 is divided by in add-one smoothing with one word more than those seen."""
+        return self.tokens + self.distinct + 1
+
 
 def counted(docs: DataFrame, text: str, order: int) -> DataFrame:
     """(word, code, n): word counts (code null) and gram counts (word null) of all texts."""
@@ -245,10 +251,10 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NO
     return Model(order, short, level, cached, kept["code"].to_numpy(dtype=np.uint64), kept["lp"].to_numpy(dtype=np.float64), words, counts, int(tokens), int(distinct))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) for each row of docs."""
+def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", base_over: int | None = None) -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) for each row of docs; base_over: what the base divides c + 1 by."""
     order, cache, logs10, hot, kind, spark = model.order, model.codes, model.logs, model.hot, docs.schema[key].dataType, docs.sparkSession
-    below = np.log10(model.tokens + 1) + np.log10(model.distinct + 1)  # log10 of (N + 1) * (V + 1)
+    below = np.log10(model.tokens + 1) + np.log10(model.distinct + 1) if base_over is None else np.log10(base_over)
     schema = "row long, key string, word string, code long, n long, n_tokens long, n_known long, base_score double, score double"
     names = [c.split()[0] for c in schema.split(", ")]
     full = lambda d: d.reindex(columns=names).astype({"key": object, "word": object, "code": "Int64", "n": "Int64", "n_tokens": "Int64", "n_known": "Int64"})

@@ -53,7 +53,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ppm.fit(docs.filter(fold(7) != 2))
-    scored = ppm.predict(docs, model)
+    scored = ppm.predict(docs, model, base_over=model.add_one())
     return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

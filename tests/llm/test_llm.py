@@ -631,6 +631,40 @@ def test_ppm(spark, docs, empty):
     assert ppm.predict(empty, m).count() == 0
 
 
+def test_ppm_query_keeps_its_contract(spark, tmp_path):
+    """Base: c + 1 over N + 1 * (V + 1), the product first. By hand, then on odd rows by exact fractions."""
+    from millrace.llm.queries import op8_ppm
+
+    def run(name, rows):
+        table(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return op8_ppm(spark, f"{tmp_path}/{name}").collect()
+
+    # learned: a twice, b, the end; N = 4, V = 3, so each token's share is over 8
+    got = {r.doc_id: r for r in run("hand", [(0, "A b\ta", "en", "s", 5), (1, "a c", "en", "s", 3)])}
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in (got[0], got[1])] == [(False, 4, 4, 4), (True, 3, 2, 4)]
+    assert got[0].base_score == pytest.approx(np.log10(3 / 8 * 2 / 8 * 3 / 8 * 2 / 8), rel=1e-12)
+    assert got[1].base_score == pytest.approx(np.log10(3 / 8 * 1 / 8 * 2 / 8), rel=1e-12)
+
+    texts = ["", None, " \n\x0b\x0c\r ", "a\x00b \x00 a\x00b", "x\x1cy\x1f z", "a\u0085b a\u00a0b a\u3000b", "İK kK ÄÖ äö", "\ufffd \ufffd\ufffd", "null None NaN", "ABC abc 😀 😀"] * 12
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)] + [(3, "the same id", "en", "s", 0)] * 2 + [(-7, "w " * 9000, "en", "s", 0)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    tokens = lambda t: re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
+    c = Counter(w for k, t, *_ in rows if not held(k) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    assert sum(Fraction(x + 1, n + 1 * (v + 1)) for x in [*c.values(), 0]) == 1
+    log10 = lambda f: math.log10(f.numerator) - math.log10(f.denominator)
+    base = lambda t: math.fsum(times * log10(Fraction(c[w] + 1, n + 1 * (v + 1))) for w, times in Counter(tokens(t)).items())
+    key = lambda r: (r[0], r[2], r[3], round(r[5], 6))
+    expected = sorted(((k, held(k), len(tokens(t)), sum(w in c for w in tokens(t)), n, base(t)) for k, t, *_ in rows), key=key)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in run("odd", rows)), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in expected]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in expected], rel=1e-12)
+    # words that don't travel with the model, whose counts are joined
+    m = ppm.fit(table(spark, [r for r in rows if not held(r[0])]), hot=4)
+    joined = sorted(((r.doc_id, 0, r.n_tokens, r.n_known, 0, r.base_score) for r in ppm.predict(table(spark, rows), m, base_over=m.add_one()).collect()), key=key)
+    assert 0 < len(m.hot) < v and [r[5] for r in joined] == pytest.approx([r[5] for r in expected], rel=1e-12)
+
+
 def brute_ppm(counts, data, order):
     """Method C with exclusion, one byte at a time."""
     bits, padded = 0.0, b"\n" * order + data
